@@ -9,6 +9,7 @@ and so is no window sum).
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -161,41 +162,33 @@ def unit_shares(headers: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def _fold_months(bills: Column, paid: Column, percent: Column, start: Column) -> Column:
-    """Walk the bills of one unit in order and carry its debt.
+def _cents(amount: Column) -> Column:
+    return (F.coalesce(amount, F.lit(0)).cast(MONEY) * 100).cast("bigint")
 
-    The state is the bill before: its month, what stayed open, what was paid
-    for it. Only a debt of the calendar month before is carried.
+
+def _carried_cents(bills: Column, paid: Column, percent: Column, start: Column) -> Column:
+    """The debt carried into each bill of one unit, in cents, by a walk over its bills.
+
+    The state is what stayed open on the bill before. Whole cents keep the walk
+    exact and cheap: amount times percentage is a whole number of millionths,
+    and a total is rounded half up to cents as a stored amount is. An overflow
+    raises.
     """
+    zero = F.lit(0).cast("bigint")
+
     def step(state: Column, bill: Column) -> Column:
-        follows = F.add_months(state.periodo, 1) == bill.periodo
-        carried = F.when(follows, state.deuda).otherwise(F.lit(0)).cast(MONEY)
-        interest = F.greatest(carried, F.lit(0).cast(MONEY)) * _rate(CARRY_INTEREST)
-        ordinary = F.coalesce(percent_of(bill.ordinario, percent), F.lit(0).cast(EXACT))
-        extra = F.coalesce(percent_of(bill.extraordinario, percent), F.lit(0).cast(EXACT))
-        total = (ordinary + extra + carried + interest).cast(MONEY)
-        settled = F.try_element_at(paid, bill.periodo)
-        received = F.coalesce(settled.pagado, F.lit(0)).cast(MONEY)
-        line = F.struct(
-            bill.periodo.alias("periodo"), bill.expensaId.alias("expensaId"),
-            ordinary.cast(MONEY).alias("ordinario"), extra.cast(MONEY).alias("extraordinario"),
-            carried.alias("arrastre"), interest.cast(MONEY).alias("interes"),
-            total.alias("total"), received.alias("pagado"),
-            settled.primera.alias("primera"), state.pagado.alias("pagadoAntes"),
-        )
-        return F.struct(
-            bill.periodo.alias("periodo"), (total - received).cast(MONEY).alias("deuda"),
-            received.alias("pagado"), F.concat(state.lineas, F.array(line)).alias("lineas"),
-        )
+        carried = F.when(bill.sigue, state.deuda).otherwise(zero)
+        exact = bill.centavos * state.porcentaje + carried * 10000 + F.greatest(carried, zero) * 500
+        half = F.when(exact < 0, F.lit(-5000)).otherwise(F.lit(5000))
+        total = F.call_function("div", exact + half, F.lit(10000))
+        settled = F.coalesce(F.try_element_at(paid, bill.periodo), zero)
+        return F.struct((total - settled).alias("deuda"), state.porcentaje.alias("porcentaje"),
+                        F.array_append(state.arrastres, carried).alias("arrastres"))
 
-    line_type = (
-        "array<struct<periodo:date,expensaId:bigint,ordinario:decimal(18,2),"
-        "extraordinario:decimal(18,2),arrastre:decimal(18,2),interes:decimal(18,2),"
-        "total:decimal(18,2),pagado:decimal(18,2),primera:timestamp,pagadoAntes:decimal(18,2)>>"
-    )
-    empty = F.struct(start.periodo.alias("periodo"), start.deuda.alias("deuda"),
-                     start.pagado.alias("pagado"), F.array().cast(line_type).alias("lineas"))
-    return F.aggregate(bills, empty, step, lambda state: state.lineas)
+    # The percentage rides in the state so that it is computed once per unit.
+    empty = F.struct(start.alias("deuda"), percent.alias("porcentaje"),
+                     F.array().cast("array<bigint>").alias("arrastres"))
+    return F.aggregate(bills, empty, step, lambda state: state.arrastres)
 
 
 def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
@@ -204,39 +197,63 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
 
     A building's bills travel as one array per building and a unit's payments
     as one map per unit (at most one entry per month), so only one row per unit
-    is shuffled; the lines come into being after the last join. ``previous``
-    may hold (idUnidadFuncional, periodo, deuda, pagado) of the last bill
-    before the first month.
+    is shuffled; the lines come into being after the last join. Only a debt of
+    the calendar month before is carried. ``previous`` may hold
+    (idUnidadFuncional, periodo, deuda, pagado) of the bill before the first month.
     """
-    bills = headers.groupBy("consorcioId").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "periodo", F.col("id").alias("expensaId"), "ordinario", "extraordinario",
-        ))).alias("facturas")
+    in_order = W.partitionBy("consorcioId").orderBy("periodo")
+    bills = (
+        headers.withColumn("anterior", F.lag("periodo").over(in_order))
+        .groupBy("consorcioId")
+        .agg(F.sort_array(F.collect_list(F.struct(
+            "periodo", F.col("id").alias("expensaId"), "ordinario", "extraordinario", "anterior",
+            F.coalesce(F.add_months("anterior", 1) == F.col("periodo"), F.col("anterior").isNull()).alias("sigue"),
+            _cents(F.col("ordinario") + F.col("extraordinario")).alias("centavos"),
+        ))).alias("facturas"))
     )
+    month = F.add_months("mes", -1)
     settled = paid.groupBy("CVU_CBU").agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            F.add_months("mes", -1).alias("periodo"),
-            F.struct("pagado", F.col("primera").cast("timestamp").alias("primera")),
-        ))).alias("pagos")
+        F.map_from_entries(F.collect_list(F.struct(month, F.struct(
+            "pagado", F.col("primera").cast("timestamp").alias("primera"))))).alias("pagos"),
+        F.map_from_entries(F.collect_list(F.struct(month, _cents(F.col("pagado"))))).alias("pagosCentavos"),
     )
+    # The walk is bound by CPU, not bytes: spread the units over all shuffle
+    # partitions by the key of the join that follows, which then needs no other
+    # shuffle. A stated number also keeps small partitions from being merged.
+    tasks = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         units.select(F.col("id").alias("idUnidadFuncional"), "consorcioId", "CVU_CBU",
                      F.col("porcentajeExpensas").alias("porcentaje"))
+        .repartition(tasks, "CVU_CBU")
         .join(settled, "CVU_CBU", "left")
         .join(bills, "consorcioId")
     )
-    if previous is None:
-        start = F.struct(F.lit(None).cast("date").alias("periodo"),
-                         F.lit(0).cast(MONEY).alias("deuda"), F.lit(None).cast(MONEY).alias("pagado"))
-        rows = rows.withColumn("inicio", start)
-    else:
-        rows = rows.join(
-            previous.select("idUnidadFuncional", F.struct(
-                F.col("periodo"), F.col("deuda").cast(MONEY).alias("deuda"),
-                F.col("pagado").cast(MONEY).alias("pagado")).alias("inicio")),
-            "idUnidadFuncional", "left")
-    folded = _fold_months(F.col("facturas"), F.col("pagos"), F.col("porcentaje"), F.col("inicio"))
-    return rows.select("idUnidadFuncional", "consorcioId", F.inline(folded))
+    opening, paid_before = F.lit(0).cast("bigint"), F.lit(None).cast(MONEY)
+    if previous is not None:
+        rows = rows.join(previous.select(
+            "idUnidadFuncional", F.col("periodo").alias("_ultimo"), F.col("deuda").alias("_deuda"),
+            F.col("pagado").cast(MONEY).alias("_pagado")), "idUnidadFuncional", "left")
+        first = F.col("facturas")[0]["periodo"]
+        opening = _cents(F.when(F.add_months("_ultimo", 1) == first, F.col("_deuda")))
+        paid_before = F.col("_pagado")
+    carried = _carried_cents(F.col("facturas"), F.col("pagosCentavos"), _cents(F.col("porcentaje")), opening)
+    lines = rows.withColumn("_inicio", paid_before).withColumn("arrastres", carried).select(
+        "idUnidadFuncional", "consorcioId", "porcentaje", "pagos", "_inicio",
+        F.inline(F.arrays_zip("facturas", "arrastres")))
+    bill, debt = F.col("facturas"), (F.col("arrastres") * _rate("0.01")).cast(MONEY)
+    ordinary, extra = (F.coalesce(percent_of(bill[c], F.col("porcentaje")), F.lit(0)).cast(EXACT)
+                       for c in ("ordinario", "extraordinario"))
+    interest = F.greatest(debt, F.lit(0).cast(MONEY)) * _rate(CARRY_INTEREST)
+    settled_now = F.try_element_at("pagos", bill["periodo"])
+    settled_before = F.coalesce(F.try_element_at("pagos", bill["anterior"])["pagado"], F.lit(0).cast(MONEY))
+    return lines.select(
+        "idUnidadFuncional", "consorcioId", bill["periodo"].alias("periodo"), bill["expensaId"].alias("expensaId"),
+        ordinary.cast(MONEY).alias("ordinario"), extra.cast(MONEY).alias("extraordinario"),
+        debt.alias("arrastre"), interest.cast(MONEY).alias("interes"),
+        (ordinary + extra + debt + interest).cast(MONEY).alias("total"),
+        or_zero(settled_now["pagado"]).alias("pagado"), settled_now["primera"].alias("primera"),
+        F.when(bill["anterior"].isNotNull(), settled_before).otherwise(F.col("_inicio")).alias("pagadoAntes"),
+    )
 
 
 def late_interest(first_payment: Column, first_due: Column, second_due: Column,
@@ -364,12 +381,15 @@ def billing_batch(
     last: dt.date | str,
     previous: DataFrame | None = None,
     refreshed: bool = True,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> BillingRun:
     """Bill every building for every month from ``first`` to ``last``.
 
     Each bill is followed by payment application and refresh, as a month-by-month
     run would do. ``refreshed=False`` gives the lines as they stand right after
-    billing. Write the parts with a keyed overwrite: the ids depend on building,
+    billing. ``keep`` may store the headers (one row per building and month), for
+    example ``session.cut_lineage``, so that the parts share them instead of
+    summing the costs once each. Write the parts with a keyed overwrite: the ids depend on building,
     unit and month only, so a second run of the same months changes nothing.
     """
     start, end = (F.lit(str(d)).cast("date") for d in (first, last))
@@ -379,6 +399,8 @@ def billing_batch(
     headers = bill_headers(
         period_grid(buildings, start, end), opening, monthly_income(paid, units),
         monthly_costs(combine_costs(ordinary, extraordinary)))
+    if keep is not None:
+        headers = keep(headers)
     bills = conform(headers, "Expensa")
     lines = _as_lines(carried_lines(headers, units, paid, previous), refreshed)
     return BillingRun(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duesflow.plans import billing, notices, reports
+from duesflow.session import cut_lineage
 from duesflow.workload import sql
 from duesflow.workload.registry import query
-from duesflow.workload.sql import half_up, period_key
+from duesflow.workload.sql import half_up
 from duesflow.workload.tables import FIRST_MONTH, LAST_MONTH, Ledger
 
 N2 = "format('{{:,.2f}}', CAST({0} AS DOUBLE))"
@@ -203,10 +204,10 @@ def event_gaps(t: Ledger):
     return reports.payment_gaps(rows)
 
 
-def _run(t: Ledger) -> billing.BillingRun:
+def run_batch(t: Ledger, **options) -> billing.BillingRun:
     return billing.billing_batch(
         t.buildings, t.accounts, t.shared_units, t.payments, t.ordinary(billed=False),
-        t.extraordinary(billed=False), FIRST_MONTH, LAST_MONTH)
+        t.extraordinary(billed=False), FIRST_MONTH, LAST_MONTH, **options)
 
 
 DOCUMENT_COLUMNS = (
@@ -251,7 +252,8 @@ FROM doc JOIN nation ON n_nationkey = b"""
 
 @query("expense_document", DOCUMENT_COLUMNS, DOCUMENT_SQL)
 def expense_document(t: Ledger):
-    run = _run(t)
+    """The headers are stored once: five of the six sections read them."""
+    run = run_batch(t, keep=cut_lineage)
     return reports.expense_document(
         t.buildings, run.bills, run.lines, t.units, t.people, t.ordinary(), t.extraordinary())
 
