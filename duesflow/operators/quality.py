@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from duesflow.schemas import TABLES
 
 INVOICE_FORMAT = "^[0-9]{10}$"
+SMALL_DIGITS = 8
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,6 +37,7 @@ def row_rules(table: str) -> dict[tuple[str, str], Column]:
     spec = TABLES[table]
     rules = {("required", c): F.col(c).isNull() for c in spec.required}
     rules |= {("width", c): F.length(c) > n for c, n in spec.widths.items()}
+    rules |= {("size", c): F.abs(F.col(c)) >= 10**SMALL_DIGITS for c in spec.small}
     if table == "GastoOrdinario":
         rules[("format", "nroFactura")] = ~valid_invoice(F.col("nroFactura"))
     return rules

@@ -1,7 +1,7 @@
 """Column types of the fourteen ledger tables and of the input files.
 
 Each ledger table carries its data rules (required, unique, references,
-text widths) so that ``operators.quality`` can check them.
+text widths, sizes of amounts) so that ``operators.quality`` can check them.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ class Table:
     unique: tuple[tuple[str, ...], ...] = ()
     references: dict[str, tuple[str, str]] = field(default_factory=dict)
     widths: dict[str, int] = field(default_factory=dict)
+    # Amounts whose whole part may have eight digits at most.
+    small: tuple[str, ...] = ()
 
     @property
     def schema(self) -> T.StructType:
@@ -39,6 +41,7 @@ TABLES: dict[str, Table] = {
         required=("CVU_CBU",),
         unique=(("CVU_CBU",),),
         widths={"CVU_CBU": 22, "nombreTitular": 50},
+        small=("saldo",),
     ),
     "FormaDePago": Table(
         "idFormaPago int, descripcion string, confirmacion string",
@@ -82,6 +85,8 @@ TABLES: dict[str, Table] = {
         "saldoCierre decimal(18,2), fechaPeriodoAnio int, fechaPeriodoMes int",
         unique=(("id",), ("consorcioId", "fechaPeriodoAnio", "fechaPeriodoMes")),
         references={"consorcioId": ("Consorcio", "id")},
+        small=("saldoAnterior", "ingresosEnTermino", "ingresosAdeudados", "ingresosAdelantados", "egresos",
+               "saldoCierre"),
     ),
     "Cochera": Table(
         "id bigint, unidadFuncionalId bigint, numero int, porcentajeExpensas decimal(5,2)",
@@ -120,6 +125,8 @@ TABLES: dict[str, Table] = {
         "segundoVencimiento date",
         unique=(("id",),),
         references={"expensaId": ("Expensa", "id"), "idUnidadFuncional": ("UnidadFuncional", "id")},
+        small=("prorrateoOrdinario", "prorrateoExtraordinario", "interesMora", "totalaPagar",
+               "saldoAnteriorAbonado", "pagosRecibidos"),
     ),
     "PagoAplicado": Table(
         "idPago bigint, idDetalleExpensa bigint, importeAplicado decimal(18,2)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duesflow import schemas
@@ -26,6 +27,28 @@ def _text(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
+def _ansi_marks() -> tuple[str, str]:
+    """The characters in which ANSI (windows-1252) text differs from ISO-8859-1."""
+    plain, ansi = [], []
+    for code in range(0x80, 0xA0):
+        byte = bytes([code])
+        try:
+            ansi.append(byte.decode("windows-1252"))
+        except UnicodeDecodeError:
+            continue
+        plain.append(byte.decode("iso-8859-1"))
+    return "".join(plain), "".join(ansi)
+
+
+def ansi_text(df: DataFrame) -> DataFrame:
+    """Text that was read as ISO-8859-1, as the ANSI text it is.
+
+    The CSV reader knows no windows-1252; the two differ in a few marks only.
+    """
+    plain, ansi = _ansi_marks()
+    return df.select(*[F.translate(F.col(c), plain, ansi).alias(c) for c in df.columns])
+
+
 def _delimited(spark: SparkSession, path: str, schema: str, sep: str, encoding: str) -> DataFrame:
     reader = (
         spark.read.format("csv")
@@ -37,7 +60,7 @@ def _delimited(spark: SparkSession, path: str, schema: str, sep: str, encoding:
 
 
 def read_payments(spark: SparkSession, path: str) -> DataFrame:
-    return _delimited(spark, path, schemas.PAYMENT_FILE, ",", "windows-1252")
+    return ansi_text(_delimited(spark, path, schemas.PAYMENT_FILE, ",", "ISO-8859-1"))
 
 
 def read_buildings(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +68,7 @@ def read_buildings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:
-    return _delimited(spark, path, schemas.PERSON_FILE, ";", "windows-1252")
+    return ansi_text(_delimited(spark, path, schemas.PERSON_FILE, ";", "ISO-8859-1"))
 
 
 def read_providers(spark: SparkSession, path: str) -> DataFrame:
