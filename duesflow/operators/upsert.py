@@ -52,19 +52,20 @@ def keep_one(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column
 def drop_duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Drop all rows of a key that occurs more than once; rows with a NULL key stay.
 
-    One aggregation with map-side combine: a hot key travels as one row per task.
+    One aggregation with map-side combine: a hot key travels as one row per
+    task, and every row with a NULL key is a group of its own.
     """
     has_null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    alone = F.when(has_null, F.monotonically_increasing_id()).alias("_alone")
     others = [c for c in df.columns if c not in keys]
     rest = F.struct(*[F.col(c) for c in others]) if others else F.lit(True)
-    once = (
-        df.where(~has_null)
-        .groupBy(*keys)
+    return (
+        df.select("*", alone)
+        .groupBy(*keys, "_alone")
         .agg(F.count(F.lit(1)).alias("_n"), F.first(rest).alias("_rest"))
         .where("_n = 1")
         .select(*[F.col(c) if c in keys else F.col(f"_rest.{c}") for c in df.columns])
     )
-    return once.unionByName(df.where(has_null))
 
 
 def fill(

@@ -99,7 +99,7 @@ def import_costs(raw: DataFrame, buildings: DataFrame, ordinary: DataFrame, year
     fresh = upsert.absent(costs.select("*", prefix), ordinary.select("*", prefix), keys).drop("_tipo")
     numbered = number_rows(
         fresh, "idGasto", ["consorcioId", "fechaEmision", "tipoServicio", "importeTotal"],
-        [F.col("consorcioId"), F.col("fechaEmision")])
+        [F.col("consorcioId"), F.struct("fechaEmision", "tipoServicio", F.floor(F.col("importeTotal") / 100))])
     counter = F.col("idGasto") + F.lit(last_number)
     return conform(numbered.withColumns({
         "idGasto": counter,
@@ -167,7 +167,7 @@ def import_units(raw: DataFrame, buildings: DataFrame, units: DataFrame, last_bu
     listed = raw.where((F.trim("nombreConsorcio") != "") & (F.trim("nroUnidadFuncional") != "")).withColumn(
         "nombre", F.trim("nombreConsorcio"))
     unknown = upsert.absent(listed.select("nombre").distinct(), buildings, ["nombre"], F.trim)
-    added = _new_buildings(unknown.withColumns({"_orden": F.lit(""), "direccion": F.lit(UNKNOWN_ADDRESS)}),
+    added = _new_buildings(unknown.withColumns({"_orden": F.col("nombre"), "direccion": F.lit(UNKNOWN_ADDRESS)}),
                            last_building)
     all_buildings = buildings.unionByName(added)
     values = listed.join(all_buildings.select(F.col("id").alias("consorcioId"), F.trim("nombre").alias("nombre")),

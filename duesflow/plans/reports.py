@@ -270,9 +270,10 @@ def debtors_xml(top: DataFrame) -> DataFrame:
 
 
 def payment_gaps(paid: DataFrame, building: int | None = None, unit: int | None = None, start=None,
-                 end=None, as_of=None) -> DataFrame:
+                 end=None, as_of=None, mark_last: bool = False) -> DataFrame:
     """Every payment on a line with an ordinary share, with the days since the
-    unit's payment before (NULL for the first).
+    unit's payment before (NULL for the first). ``mark_last`` adds ``ultimo``,
+    true on the unit's last payment.
 
     Payments are first counted per unit and day; the window then holds one row
     per day, and the payments of one day come back as rows 0 days apart. A unit
@@ -286,33 +287,35 @@ def payment_gaps(paid: DataFrame, building: int | None = None, unit: int | None
         .groupBy("consorcioId", "idUnidadFuncional", day.cast("date").alias("fechaPago"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    before = F.lag("fechaPago").over(W.partitionBy("idUnidadFuncional").orderBy("fechaPago"))
+    in_order = W.partitionBy("idUnidadFuncional").orderBy("fechaPago")
+    last = [((F.col("orden") == F.col("_n")) & F.col("_final")).alias("ultimo")] if mark_last else []
     return (
-        daily.withColumn("_gap", F.datediff("fechaPago", before))
+        daily.withColumn("_gap", F.datediff("fechaPago", F.lag("fechaPago").over(in_order)))
+        .withColumn("_final", F.lead("fechaPago").over(in_order).isNull())
         .select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("orden"))
         .select(F.col("idUnidadFuncional").alias("idUF"), F.col("consorcioId").alias("idConsorcio"),
                 "fechaPago", F.col("orden").cast("int").alias("orden"),
-                F.when(F.col("orden") == 1, F.col("_gap")).otherwise(F.lit(0)).alias("diasDesdeAnterior"))
+                F.when(F.col("orden") == 1, F.col("_gap")).otherwise(F.lit(0)).alias("diasDesdeAnterior"), *last)
     )
 
 
 def payment_gaps_xml(gaps: DataFrame) -> DataFrame:
-    """Document lines (idUF, parte, fechaPago, orden, xml): an opening line per
-    unit, one line per payment, a closing line. In the order of the first four
+    """Document lines (idUF, fechaPago, orden, parte, xml) of ``payment_gaps``
+    with ``mark_last``: an opening line before a unit's first payment, a line
+    per payment, a closing line after its last. In the order of the first four
     columns they are the body of the document; no unit is gathered in one row,
     and ``sinks.write_document`` sorts and writes them."""
-    day, order = F.lit(None).cast("date"), F.lit(None).cast("int")
-    body = gaps.select(
-        "idUF", F.lit(1).alias("parte"), "fechaPago", "orden",
-        xml.empty_element("pago", {"fecha": F.col("fechaPago"),
-                                   "diasDesdeAnterior": F.col("diasDesdeAnterior")}).alias("xml"))
-    units = gaps.select("idUF").distinct()
-    tags = F.array(
-        F.struct(F.lit(0).alias("parte"), xml.open_tag("unidadFuncional", {"id": F.col("idUF")}).alias("xml")),
-        F.struct(F.lit(2).alias("parte"), F.lit("</unidadFuncional>").alias("xml")))
-    edges = units.select("idUF", F.inline(tags)).select(
-        "idUF", "parte", day.alias("fechaPago"), order.alias("orden"), "xml")
-    return body.unionByName(edges)
+    first = F.col("diasDesdeAnterior").isNull()
+    lines = F.array(
+        F.struct(F.lit(0).alias("parte"), first.alias("_da"),
+                 xml.open_tag("unidadFuncional", {"id": F.col("idUF")}).alias("xml")),
+        F.struct(F.lit(1).alias("parte"), F.lit(True).alias("_da"),
+                 xml.empty_element("pago", {"fecha": F.col("fechaPago"),
+                                            "diasDesdeAnterior": F.col("diasDesdeAnterior")}).alias("xml")),
+        F.struct(F.lit(2).alias("parte"), F.col("ultimo").alias("_da"),
+                 F.lit("</unidadFuncional>").alias("xml")),
+    )
+    return gaps.select("idUF", "fechaPago", "orden", F.inline(lines)).where("_da").drop("_da")
 
 
 def _section(df: DataFrame, title: str, fields: list[Column], amount: Column) -> DataFrame:

@@ -181,14 +181,15 @@ def payment_gaps(t: Ledger):
     return reports.payment_gaps(t.weighted_paid)
 
 
-@query("payment_gaps_xml", "idUF int, parte int, fechaPago date, orden int, xml text", f"""WITH {GAPS}
-SELECT u AS "idUF", 1 AS parte, d AS "fechaPago", n AS orden,
+@query("payment_gaps_xml", "idUF int, fechaPago date, orden int, parte int, xml text", f"""WITH {GAPS},
+ends AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d DESC, n DESC) AS back FROM gaps)
+SELECT u AS "idUF", d AS "fechaPago", n AS orden, 1 AS parte,
        '<pago fecha="' || d || '"' || coalesce(' diasDesdeAnterior="' || days || '"', '') || '/>' AS xml
-FROM gaps
-UNION ALL SELECT DISTINCT u, 0, CAST(NULL AS DATE), CAST(NULL AS BIGINT), '<unidadFuncional id="' || u || '">' FROM gaps
-UNION ALL SELECT DISTINCT u, 2, CAST(NULL AS DATE), CAST(NULL AS BIGINT), '</unidadFuncional>' FROM gaps""")
+FROM ends
+UNION ALL SELECT u, d, n, 0, '<unidadFuncional id="' || u || '">' FROM ends WHERE days IS NULL
+UNION ALL SELECT u, d, n, 2, '</unidadFuncional>' FROM ends WHERE back = 1""")
 def payment_gaps_xml(t: Ledger):
-    return reports.payment_gaps_xml(payment_gaps(t))
+    return reports.payment_gaps_xml(reports.payment_gaps(t.weighted_paid, mark_last=True))
 
 
 @query("event_gaps", "idUF int, fechaPago date, orden int, diasDesdeAnterior int", """

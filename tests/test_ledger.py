@@ -275,8 +275,9 @@ def test_payment_gaps_document(ledger, spark, tmp_path):
     got = [(r.fechaPago, r.diasDesdeAnterior) for r in gaps.orderBy("fechaPago").collect()]
     days = sorted(r.fecha.date() for r in paid.where("idUnidadFuncional = 3 and prorrateoOrdinario > 0").collect())
     assert got == [(d, None if i == 0 else (d - days[i - 1]).days) for i, d in enumerate(days)]
-    sinks.write_document(reports.payment_gaps_xml(reports.payment_gaps(paid, as_of=AS_OF)), str(tmp_path / "doc"),
-                         "pagosOrdinarios", ["idUF", "parte", "fechaPago", "orden"])
+    sinks.write_document(
+        reports.payment_gaps_xml(reports.payment_gaps(paid, as_of=AS_OF, mark_last=True)), str(tmp_path / "doc"),
+        "pagosOrdinarios", ["idUF", "fechaPago", "orden", "parte"])
     parts = sorted(f for f in os.listdir(tmp_path / "doc") if f.startswith("part"))
     lines = "".join(open(tmp_path / "doc" / f).read() for f in parts).splitlines()
     assert lines[0] == "<pagosOrdinarios>" and lines[-1] == "</pagosOrdinarios>"
