@@ -27,6 +27,9 @@ AFTER_FIRST_DUE = "0.02"
 AFTER_SECOND_DUE = "0.05"
 
 EXACT = "decimal(28,6)"
+# Up to this many headers (about 100 bytes each) travel to every executor.
+BROADCAST_HEADERS = 200_000
+BUILDING_SALTS = 32
 
 
 def _rate(text: str) -> Column:
@@ -191,15 +194,29 @@ def _carried_cents(bills: Column, paid: Column, percent: Column, start: Column)
     return F.aggregate(bills, empty, step, lambda state: state.arrastres)
 
 
+def _with_bills(rows: DataFrame, bills: DataFrame, tasks: int, few_bills: bool) -> DataFrame:
+    """Join the array of bills to the units of the building.
+
+    A few bills are broadcast. Otherwise both sides meet by building and salt,
+    so that the units of one very large building spread over many tasks.
+    """
+    if few_bills:
+        return rows.join(F.broadcast(bills), "consorcioId")
+    salted = rows.withColumn("_salt", F.pmod(F.hash("CVU_CBU"), F.lit(BUILDING_SALTS)))
+    copies = bills.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BUILDING_SALTS - 1))))
+    return salted.repartition(tasks, "consorcioId", "_salt").join(copies, ["consorcioId", "_salt"]).drop("_salt")
+
+
 def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
-                  previous: DataFrame | None = None) -> DataFrame:
+                  previous: DataFrame | None = None, few_bills: bool = False) -> DataFrame:
     """All lines of all bills with debts carried from month to month.
 
     A building's bills travel as one array per building and a unit's payments
     as one map per unit (at most one entry per month), so only one row per unit
     is shuffled; the lines come into being after the last join. Only a debt of
     the calendar month before is carried. ``previous`` may hold
-    (idUnidadFuncional, periodo, deuda, pagado) of the bill before the first month.
+    (idUnidadFuncional, periodo, deuda, pagado) of the bill before the first
+    month. ``few_bills`` states that the headers are few enough to broadcast.
     """
     in_order = W.partitionBy("consorcioId").orderBy("periodo")
     bills = (
@@ -226,8 +243,8 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
                      F.col("porcentajeExpensas").alias("porcentaje"))
         .repartition(tasks, "CVU_CBU")
         .join(settled, "CVU_CBU", "left")
-        .join(bills, "consorcioId")
     )
+    rows = _with_bills(rows, bills, tasks, few_bills)
     opening, paid_before = F.lit(0).cast("bigint"), F.lit(None).cast(MONEY)
     if previous is not None:
         rows = rows.join(previous.select(
@@ -389,7 +406,8 @@ def billing_batch(
     run would do. ``refreshed=False`` gives the lines as they stand right after
     billing. ``keep`` may store the headers (one row per building and month), for
     example ``session.cut_lineage``, so that the parts share them instead of
-    summing the costs once each. Write the parts with a keyed overwrite: the ids depend on building,
+    summing the costs once each, and so that they can be counted: a few are
+    broadcast to the units. Storing and counting run jobs. Write the parts with a keyed overwrite: the ids depend on building,
     unit and month only, so a second run of the same months changes nothing.
     """
     start, end = (F.lit(str(d)).cast("date") for d in (first, last))
@@ -399,10 +417,12 @@ def billing_batch(
     headers = bill_headers(
         period_grid(buildings, start, end), opening, monthly_income(paid, units),
         monthly_costs(combine_costs(ordinary, extraordinary)))
+    few_bills = False
     if keep is not None:
         headers = keep(headers)
+        few_bills = headers.limit(BROADCAST_HEADERS + 1).count() <= BROADCAST_HEADERS
     bills = conform(headers, "Expensa")
-    lines = _as_lines(carried_lines(headers, units, paid, previous), refreshed)
+    lines = _as_lines(carried_lines(headers, units, paid, previous, few_bills), refreshed)
     return BillingRun(
         bills=bills,
         lines=lines,

@@ -61,15 +61,16 @@ def parse_costs(raw: DataFrame, as_of=None, style: str = "reference") -> DataFra
     """Cost documents as (nombreConsorcio, mes, tipoServicio, importe) with
     positive amounts only; an unknown month counts as the month of the import."""
     this_month = F.month(dates.as_of_date(as_of))
-    long = raw.select(
+    # Parsed before the columns become rows: the filter on the amount then reads
+    # a value instead of parsing each text once more.
+    parsed = raw.select(
         F.col("`Nombre del consorcio`").alias("nombreConsorcio"),
         dates.month_number(F.col("Mes"), this_month).alias("mes"),
-        *[F.col(f"`{c}`") for c in COST_CATEGORIES],
-    ).unpivot(["nombreConsorcio", "mes"], [f"`{c}`" for c in COST_CATEGORIES], "tipoServicio", "texto")
-    return long.select(
-        "nombreConsorcio", "mes", F.replace(F.col("tipoServicio"), F.lit("`"), F.lit("")).alias("tipoServicio"),
-        amounts.parse_amount(F.col("texto"), style).alias("importe"),
-    ).where(F.col("importe") > 0)
+        *[amounts.parse_amount(F.col(f"`{c}`"), style).alias(c) for c in COST_CATEGORIES],
+    )
+    pairs = F.array(*[F.struct(F.lit(c).alias("tipoServicio"), F.col(f"`{c}`").alias("importe"))
+                      for c in COST_CATEGORIES])
+    return parsed.select("nombreConsorcio", "mes", F.inline(pairs)).where(F.col("importe") > 0)
 
 
 def invoice_number(building: Column, period: Column, counter: Column) -> Column:

@@ -20,6 +20,9 @@ def get_spark(app: str = "duesflow", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # The JVM compiles no method above 8000 bytes: let wide projections run as
+        # several smaller methods instead of one that stays interpreted.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # Call sites of every column expression double the driver's planning time.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

@@ -68,7 +68,7 @@ def _cost_documents(t: Ledger):
     docs = t.table("orders").join(t.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
         t.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     texts = [
-        F.when((F.col("o_orderkey") + i) % 7 == 0, F.lit("0,00")).otherwise(
+        F.when((F.col("o_orderstatus") == "P") & F.lit(c == imports.GENERAL_CATEGORY), F.lit("0,00")).otherwise(
             _localized(price, (F.col("o_orderkey") + i) % 4)).alias(c)
         for i, c in enumerate(schemas.COST_CATEGORIES)
     ]
@@ -76,7 +76,8 @@ def _cost_documents(t: Ledger):
 
 
 _DOCUMENT_ROWS = " UNION ALL ".join(
-    f"SELECT n_name, month(o_orderdate) AS m, '{c}' AS kind, CASE WHEN (o_orderkey + {i}) % 7 = 0 THEN '0,00'"
+    f"SELECT n_name, month(o_orderdate) AS m, '{c}' AS kind,"
+    f" CASE WHEN o_orderstatus = 'P' AND {c == imports.GENERAL_CATEGORY} THEN '0,00'"
     f" ELSE {_localized_sql('o_totalprice', f'((o_orderkey + {i}) % 4)')} END AS t"
     f" FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey"
     for i, c in enumerate(schemas.COST_CATEGORIES))
@@ -290,7 +291,7 @@ def insert_if_absent(t: Ledger):
 
 
 @query("upsert_fill", "id int, nombre text, direccion text, metrosCuadradosTotal money", f"""
-WITH known AS (SELECT * FROM supplier WHERE s_nationkey < 15), drop_ AS (SELECT * FROM supplier WHERE s_nationkey > 8),
+WITH known AS (SELECT * FROM supplier WHERE s_acctbal < 6000), drop_ AS (SELECT * FROM supplier WHERE s_acctbal > 3000 OR s_acctbal < 0),
 fresh AS (SELECT * FROM drop_ WHERE s_name NOT IN (SELECT s_name FROM known))
 SELECT known.s_suppkey AS id, known.s_name AS nombre,
        coalesce(CASE WHEN drop_.s_acctbal > 0 THEN 'Nueva ' || drop_.s_suppkey END, 'Vieja') AS direccion,
@@ -301,10 +302,10 @@ SELECT row_number() OVER (ORDER BY s_name) + 100000000, s_name,
        CASE WHEN s_acctbal > 0 THEN 'Nueva ' || s_suppkey END, {sql.money('s_acctbal')} FROM fresh""")
 def upsert_fill(t: Ledger):
     supplier = t.table("supplier")
-    known = supplier.where("s_nationkey < 15").select(
+    known = supplier.where("s_acctbal < 6000").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("nombre"), F.lit(None).cast("string").alias("CVU_CBU"),
         F.lit("Vieja").alias("direccion"), F.lit(1).cast("decimal(10,2)").alias("metrosCuadradosTotal"))
-    raw = supplier.where("s_nationkey > 8").select(
+    raw = supplier.where("s_acctbal > 3000 or s_acctbal < 0").select(
         F.col("s_name").alias("consorcio"), F.concat(F.lit(" "), "s_name", F.lit(" ")).alias("nombre"),
         F.when(F.col("s_acctbal") > 0, F.concat(F.lit("Nueva "), F.col("s_suppkey").cast("string"))).alias("direccion"),
         F.lit("1").alias("cantUnidades"), money(F.col("s_acctbal")).cast("string").alias("superficie"))
@@ -313,19 +314,21 @@ def upsert_fill(t: Ledger):
 
 @query("unit_owner_import", "id int, CVU_CBU text, consorcioId int, piso text, departamento text, numero int", f"""
 WITH fresh AS (
-  SELECT * FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20
+  SELECT * FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_mktsegment <> 'HOUSEHOLD'
   WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))
 SELECT row_number() OVER (ORDER BY n_nationkey NULLS FIRST, c_custkey) AS id, {sql.account('c_custkey')} AS "CVU_CBU",
        n_nationkey AS "consorcioId", 'PB  ' AS piso, substr(c_mktsegment, 1, 1) AS departamento, c_custkey AS numero
 FROM fresh""")
 def unit_owner_import(t: Ledger):
+    """Households come with a building name the ledger does not know."""
     key = F.col("c_custkey")
+    name = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("?")).otherwise(F.col("n_name"))
     raw = t.table("customer").join(t.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.concat(account(key), F.lit(" ")).alias("CVU_CBU"), F.concat("n_name", F.lit(" ")).alias("nombreConsorcio"),
+        F.concat(account(key), F.lit(" ")).alias("CVU_CBU"), F.concat(name, F.lit(" ")).alias("nombreConsorcio"),
         key.cast("string").alias("numero"), F.lit("PB").alias("piso"),
         F.substring("c_mktsegment", 1, 1).alias("departamento"))
     known = t.table("orders").where("o_orderpriority = '1-URGENT'").select(account(F.col("o_custkey")).alias("CVU_CBU"))
-    return imports.import_unit_owners(raw, t.buildings.where("id < 20"), known)
+    return imports.import_unit_owners(raw, t.buildings, known)
 
 
 @query("unit_import", "id int, consorcioId int, metrosCuadrados money, porcentajeExpensas money, tipo text", f"""

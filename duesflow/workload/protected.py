@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 
 from duesflow.operators.protect import protect_table
 from duesflow.plans import protected, reports
@@ -15,14 +16,38 @@ class _Protected:
     """The ledger's tables under a key of their own."""
 
     def __init__(self, t: Ledger):
-        self.key = key = new_key()
-        self.ordinary = protect_table(t.ordinary(), "GastoOrdinario", key)
-        self.extraordinary = protect_table(t.extraordinary(), "GastoExtraordinario", key)
-        self.applied = protect_table(t.applied, "PagoAplicado", key)
-        self.payments = protect_table(t.payments, "Pago", key)
-        self.lines = protect_table(t.lines, "DetalleExpensa", key)
-        self.units = protect_table(t.units, "UnidadFuncional", key)
-        self.people = protect_table(t.people, "Persona", key)
+        self.t, self.key = t, new_key()
+
+    def _hide(self, df: DataFrame, table: str) -> DataFrame:
+        return protect_table(df, table, self.key)
+
+    @property
+    def ordinary(self) -> DataFrame:
+        return self._hide(self.t.ordinary(), "GastoOrdinario")
+
+    @property
+    def extraordinary(self) -> DataFrame:
+        return self._hide(self.t.extraordinary(), "GastoExtraordinario")
+
+    @property
+    def applied(self) -> DataFrame:
+        return self._hide(self.t.applied, "PagoAplicado")
+
+    @property
+    def payments(self) -> DataFrame:
+        return self._hide(self.t.payments, "Pago")
+
+    @property
+    def lines(self) -> DataFrame:
+        return self._hide(self.t.lines, "DetalleExpensa")
+
+    @property
+    def units(self) -> DataFrame:
+        return self._hide(self.t.units, "UnidadFuncional")
+
+    @property
+    def people(self) -> DataFrame:
+        return self._hide(self.t.people, "Persona")
 
 
 @query("weekly_cost_flow_protected", plain.WEEKLY_COLUMNS, plain.WEEKLY_SQL)

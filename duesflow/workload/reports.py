@@ -206,9 +206,10 @@ def event_gaps(t: Ledger):
 
 
 def run_batch(t: Ledger, **options) -> billing.BillingRun:
+    """The whole batch; the headers are stored when this is called."""
     return billing.billing_batch(
         t.buildings, t.accounts, t.shared_units, t.payments, t.ordinary(billed=False),
-        t.extraordinary(billed=False), FIRST_MONTH, LAST_MONTH, **options)
+        t.extraordinary(billed=False), FIRST_MONTH, LAST_MONTH, keep=cut_lineage, **options)
 
 
 DOCUMENT_COLUMNS = (
@@ -253,8 +254,7 @@ FROM doc JOIN nation ON n_nationkey = b"""
 
 @query("expense_document", DOCUMENT_COLUMNS, DOCUMENT_SQL)
 def expense_document(t: Ledger):
-    """The headers are stored once: five of the six sections read them."""
-    run = run_batch(t, keep=cut_lineage)
+    run = run_batch(t)
     return reports.expense_document(
         t.buildings, run.bills, run.lines, t.units, t.people, t.ordinary(), t.extraordinary())
 

@@ -178,7 +178,7 @@ def test_billing_equals_the_walk(ledger):
 
 def test_step_by_step_equals_the_batch(ledger):
     """Inserted lines, then applied payments, then refresh."""
-    inserted = billing.billing_batch(
+    inserted = billing.billing_batch(  # without ``keep``: bills meet units by building and salt
         ledger.buildings, ledger.accounts, ledger.units, ledger.payments, ledger.ordinary, ledger.extraordinary,
         FIRST, LAST, refreshed=False)
     lines = cut_lineage(inserted.lines)
