@@ -393,6 +393,16 @@ def seeded_costs(t: Ledger):
     return fillers.extraordinary_costs(rows, "2025-04-01", 91)
 
 
+@query("simulated_payments", "id int, idFormaPago int, cbuCuentaOrigen text, fecha date, importe money",
+       f"""WITH {sql.LINES}
+SELECT id, {draw_below('id', 4, 3)} + 1 AS "idFormaPago", {sql.account('u')} AS "cbuCuentaOrigen",
+       CAST(m + INTERVAL 1 MONTH + INTERVAL 5 DAY AS DATE) + CAST({draw_below('id', 3, 6)} AS INT) AS fecha,
+       {half_up(f"total * (70 + {draw_below('id', 2, 31)})", '100')} / 100.0 AS importe
+FROM lines WHERE {draw_below('id', 1, 100)} < 80""")
+def simulated_payments(t: Ledger):
+    return fillers.simulate_payments(t.lines, t.units)
+
+
 @query("attach_sequence", "unidadFuncionalId int, numero int, porcentajeExpensas money", f"""WITH {sql.UNITS},
 taken AS (SELECT b, max(u % 100 + 1) AS top FROM units WHERE dep = 'H' GROUP BY b)
 SELECT s.u AS "unidadFuncionalId", row_number() OVER (PARTITION BY s.b ORDER BY s.u) + coalesce(top, 0) AS numero,

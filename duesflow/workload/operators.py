@@ -13,7 +13,7 @@ from duesflow.operators.protect import key_hash, protect_table, reveal_table
 from duesflow.sources.sinks import preview
 from duesflow.workload import sql
 from duesflow.workload.registry import query
-from duesflow.workload.tables import Ledger
+from duesflow.workload.tables import GIVEN, Ledger
 
 
 def new_key() -> str:
@@ -85,16 +85,10 @@ def group_share(t: Ledger):
         "o_orderkey", share.percent_share(F.col("p"), F.col("total")).alias("parte"))
 
 
-GIVEN_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-    "embeddings", "pages", "benchmark", "labels", "conversations",
-)
-
-
 @query("table_counts", "Tabla text, Registros int",
-       " UNION ALL ".join(f"SELECT '{n}' AS \"Tabla\", count(*) AS \"Registros\" FROM {n}" for n in GIVEN_TABLES))
+       " UNION ALL ".join(f"SELECT '{n}' AS \"Tabla\", count(*) AS \"Registros\" FROM {n}" for n in GIVEN))
 def table_counts(t: Ledger):
-    return quality.table_counts({n: t.table(n) for n in GIVEN_TABLES})
+    return quality.table_counts({n: t.table(n) for n in GIVEN})
 
 
 @query("latest_rows", "o_orderkey int, o_custkey int, o_totalprice money, o_orderdate date", """

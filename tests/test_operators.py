@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duesflow import schemas
+from duesflow.functions import dates
 from duesflow.operators import protect, quality, share, upsert
 from duesflow.operators.numbering import id_bucket, number_rows, prefix_buckets
 from duesflow.sources import sinks
@@ -136,3 +137,30 @@ def test_sinks(spark, tmp_path):
     sinks.write_xml(df, str(tmp_path / "x"), "rows", "row")
     body = "".join(open(tmp_path / "x" / f).read() for f in sorted(os.listdir(tmp_path / "x")) if f.startswith("part"))
     assert "<rows>" in body and "<v>a</v>" in body
+
+
+def test_date_ranges_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "pago")
+    schemas.conform(spark.range(10).withColumn("fecha", F.lit("2025-05-01").cast("timestamp")), "Pago").write.parquet(path)
+    rows = spark.read.schema(schemas.TABLES["Pago"].schema).parquet(path)
+    wanted = reduce_where(rows, dates.in_year(F.col("fecha"), 2025))
+    plan = wanted.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(fecha" in plan and "LessThan(fecha" in plan
+    assert "ReadSchema: struct<id:bigint,fecha:timestamp>" in plan
+    assert wanted.count() == 10 and reduce_where(rows, dates.in_year(F.col("fecha"), 2024)).isEmpty()
+
+
+def reduce_where(df, conditions):
+    for condition in conditions:
+        df = df.where(condition)
+    return df
+
+
+def test_a_hot_key_keeps_results_whole(spark):
+    """A third of all rows under one key, against the plain window form."""
+    rows = spark.range(30000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    total = share.with_group_total(rows, ["k"], "id", "t")
+    want = rows.withColumn("t", F.sum("id").over(W.partitionBy("k")))
+    assert total.select(want.columns).exceptAll(want).isEmpty() and total.count() == 30000
+    assert upsert.drop_duplicate_groups(rows, ["k"]).count() == 20000
+    assert upsert.keep_one(rows, ["k"], ["id"]).count() == 20001
