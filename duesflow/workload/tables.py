@@ -169,11 +169,14 @@ class Ledger:
     def order_weights(self) -> DataFrame:
         """Per order: ordinary, extraordinary and interest part of its lines."""
         price, tax = money(F.col("l_extendedprice")), F.col("l_tax").cast("decimal(4,2)")
-        extra = F.col("l_returnflag") == EXTRAORDINARY_FLAG
-        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-            F.sum(F.when(~extra, price)).cast(MONEY).alias("prorrateoOrdinario"),
-            F.sum(F.when(extra, price)).cast(MONEY).alias("prorrateoExtraordinario"),
-            F.sum((price * tax).cast(MONEY)).cast(MONEY).alias("interesMora"))
+        rows = self.table("lineitem").select(
+            F.col("l_orderkey").alias("id"), (F.col("l_returnflag") == EXTRAORDINARY_FLAG).alias("extra"),
+            price.alias("importe"), tax.alias("tasa"))
+        extra, amount = F.col("extra"), F.col("importe")
+        return rows.groupBy("id").agg(
+            F.sum(F.when(~extra, amount)).cast(MONEY).alias("prorrateoOrdinario"),
+            F.sum(F.when(extra, amount)).cast(MONEY).alias("prorrateoExtraordinario"),
+            F.sum((amount * F.col("tasa")).cast(MONEY)).cast(MONEY).alias("interesMora"))
 
     @cached_property
     def lines(self) -> DataFrame:
