@@ -75,6 +75,11 @@ class Vocabulary:
         # A model word's class and member follow from its rank; other tokens' codes from their ending.
         self.codes = np.array([r if r < self.n_model else CLASSES * MEMBERS + tail_class(t) for r, t in enumerate(tokens)], np.int64)
 
+    def facts(self) -> tuple:
+        """The arguments that make this vocabulary again, as plain values for a broadcast."""
+        tokens = self._joined.split(b" ") if len(self.counts) else []
+        return tokens, self.counts, self.total, self.distinct, self.tail_n, self.tail_v
+
     def ranks(self) -> dict[bytes, int]:
         # END is white space itself and is kept apart from the split.
         return {t: r for r, t in enumerate(self._joined.split(b" "))} if len(self.counts) else {}
@@ -250,7 +255,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rate: float = 0.1, step_to
     partitions' changes meet in one task, level by level, in ``SLICES`` slices. Runs jobs.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(vocabulary.facts())
     network = Network(vocabulary.biases())
     change = "part long, slice int, weights binary, touched binary"
     width = ROWS // SLICES
@@ -277,7 +282,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rate: float = 0.1, step_to
             import pyarrow as pa
             from pyspark import TaskContext
 
-            words = shared.value
+            words = Vocabulary(*shared.value)
             top, inside = weights.value
             net = Network(words.biases(), top.copy(), inside.copy())
             state = [np.zeros(ROWS, np.float32) for _ in range(4)]
@@ -328,7 +333,7 @@ def score_texts(docs: DataFrame, held_out, *, rate: float = 0.1) -> DataFrame:
     vocabulary, least = learn_vocabulary(counts)
     network = train(learned, vocabulary, rate=rate)
     room = vocabulary.total + vocabulary.distinct + 1
-    shared = spark.sparkContext.broadcast((vocabulary, network.top, network.inside))
+    shared = spark.sparkContext.broadcast((vocabulary.facts(), network.top, network.inside))
 
     def score(batches):
         from collections import Counter
@@ -336,7 +341,8 @@ def score_texts(docs: DataFrame, held_out, *, rate: float = 0.1) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, top, inside = shared.value
+        facts, top, inside = shared.value
+        words = Vocabulary(*facts)
         coder, net = Coder(words), Network(words.biases(), top, inside)
         seen = np.append(words.counts, 0)
         log_base = np.log10(np.append(words.counts + 1.0, 1.0) / room)
@@ -358,13 +364,13 @@ def score_texts(docs: DataFrame, held_out, *, rate: float = 0.1) -> DataFrame:
             nonlocal key
             for i, (doc, held, rank, _, rare) in enumerate(waiting):
                 key += 1
-                facts = (doc, held, len(rank), int(sums[2][i]), float(sums[1][i]), float(sums[0][i]))
+                once = (doc, held, len(rank), int(sums[2][i]), float(sums[1][i]), float(sums[0][i]))
                 if not rare:
                     # A token that no text can hold, so that the row meets nothing and no other row.
-                    rows.append((key, b" " + key.to_bytes(8, "big"), 0, 0, *facts))
+                    rows.append((key, b" " + key.to_bytes(8, "big"), 0, 0, *once))
                 for token, n in rare.items():
-                    rows.append((key, token, n, tail_class(token), *facts))
-                    facts = (None,) * 6
+                    rows.append((key, token, n, tail_class(token), *once))
+                    once = (None,) * 6
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
         waiting, size = [], 0

@@ -99,7 +99,7 @@ class Frequent:
 
     def __init__(self, hashes, weights):
         order = np.argsort(hashes)
-        self.hashes, self.weights = hashes[order], weights[order]
+        self.hashes, self.weights = np.asarray(hashes)[order], np.asarray(weights)[order]
 
     def __call__(self, hashes):
         out = np.full(len(hashes), 2.0)
@@ -240,7 +240,7 @@ def _signatures(texts: DataFrame, shared) -> DataFrame:
     def sign(batches):
         import pyarrow as pa
 
-        frequent, sampler = shared.value, Sampler()
+        frequent, sampler = Frequent(*shared.value), Sampler()
         for keys, hashes, counts, starts in _bags(batches, 400_000):
             samples = sampler(hashes, frequent(hashes) * counts, starts)
             banded = samples.reshape(len(keys), BANDS, DEPTH)
@@ -272,7 +272,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     def measure(batches):
         import pyarrow as pa
 
-        frequent, shingler = shared.value, Shingler()
+        frequent, shingler = Frequent(*shared.value), Shingler()
 
         def weigh(texts):
             hashes, counts, starts = shingler(texts)
@@ -386,7 +386,8 @@ def _classes(held: DataFrame, least: float) -> DataFrame:
     rows = stored_table(held.select("uid", "doc_id", F.unhex(F.sha2(words, 256)).alias("same")))
     unique = stored_table(rows.groupBy("same").agg(F.min("uid").alias("uid")))
     texts = held.select("uid", "text")
-    shared = held.sparkSession.sparkContext.broadcast(learn_frequent(texts, max(1, rows.count())))
+    frequent = learn_frequent(texts, max(1, rows.count()))
+    shared = held.sparkSession.sparkContext.broadcast((frequent.hashes, frequent.weights))
     links, roots = _links(texts, unique, shared, least)
     ends = links.select("uid").unionByName(links.select(F.col("centre").alias("uid")))
     n_links = ends.groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duesflow.llm.util import stored_table
+from duesflow.llm.util import SPACE, stored_table
 
 PREFIXES = (3, 4, 5, 6)
 SCORES = "doc_id long, score double, n_sentences long, sentence long, sentence_score double, sentence_text string"
@@ -42,7 +42,7 @@ def sentences_of(text: str):
     """Word sets of the sentences of a text; sentences without words count too."""
     import re
 
-    for part in re.split(STOPS, text.encode("utf-8", "surrogatepass").lower()):
+    for part in re.split(STOPS, text.lower().encode("utf-8", "surrogatepass")):
         yield set(part.translate(BREAKS).split())
 
 
@@ -50,13 +50,14 @@ def sentence_texts(text: str) -> list[str]:
     """The sentences in order, cut as ``sentences_of`` cuts them."""
     import re
 
-    return [p.decode("utf-8", "replace") for p in re.split(STOPS, text.encode("utf-8", "surrogatepass"))]
+    return re.split(STOPS.decode(), text)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train, most: int) -> DataFrame:
     """(uid, text, toxic): at most ``most`` training rows of each label, those of the smallest hash.
 
-    Of a document that repeats, the text with the smallest hash is taken.
+    Of an id that repeats one text is taken, and of equal texts one, so that copies do not
+    make their words look toxic.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     chosen = []
@@ -68,8 +69,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train, most: int) -> Dat
     # At most 2 * ``most`` rows of two numbers are broadcast.
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(picked), F.col("doc_id") == F.col("uid"))
-    turn = F.row_number().over(W.partitionBy("uid", "toxic").orderBy(F.xxhash64("text"), "text"))
-    return found.withColumn("turn", turn).where("turn = 1").select("uid", "text", "toxic")
+    found = found.withColumn("same", F.md5(F.regexp_replace("text", SPACE, " ")))
+    for key, order in (("uid", ["same", "text"]), ("same", ["uid"])):
+        turn = F.row_number().over(W.partitionBy(key, "toxic").orderBy(*order))
+        found = found.withColumn("turn", turn).where("turn = 1")
+    return found.select("uid", "text", "toxic")
 
 
 def _counted(sample: DataFrame, most: int) -> list[str]:
@@ -95,13 +99,13 @@ def _counted(sample: DataFrame, most: int) -> list[str]:
     sums = (sample.select("text", F.col("toxic").cast("int")).mapInArrow(count, "feature string, clean long, toxic long")
             .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     lift = (F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0)))
-    best = (sums.where(F.col("toxic") >= 3).withColumn("gain", lift * F.sqrt("toxic")).where("gain > 2")
+    best = (sums.where(F.col("toxic") >= 4).withColumn("gain", lift * F.sqrt("toxic")).where("gain > 4")
             .orderBy(F.desc("gain"), "feature").limit(most))
     return [r.feature for r in best.select("feature").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, *, most: int = 6000, features: int = 4096,
-        steps: int = 400, rate: float = 0.3, decay: float = 1e-4) -> Model:
+        steps: int = 400, rate: float = 0.3, decay: float = 5e-4, toxic_weight: float = 3.0) -> Model:
     """Fit to the labels (doc_id, toxic 0/1) of rows that ``train(doc_id column)`` admits.
 
     The sample is bounded: at most ``most`` documents of each label. Documents without a
@@ -148,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, *, most: int = 6000, features
         missed = np.bincount(doc, np.log1p(-np.clip(p, 0, 1 - 1e-9)), len(held))
         chance = np.clip(1 - np.exp(missed), 1e-9, 1 - 1e-9)
         # d(log likelihood)/dz of a sentence: p where the document is clean, else by its share in the noisy-or.
-        slope = p * np.where(y[doc] > 0, (1 - chance[doc]) / chance[doc], -1.0)
+        slope = p * np.where(y[doc] > 0, toxic_weight * (1 - chance[doc]) / chance[doc], -1.0)
         g = np.bincount(feature, slope[sentence], len(chosen)) / len(held) - decay * weights
         gb = slope.sum() / len(held)
         seen, seen_bias = 0.9 * seen + 0.1 * g * g, 0.9 * seen_bias + 0.1 * gb * gb
@@ -202,12 +206,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     and texts without any feature of the model, score the model's leak and name no sentence.
     A NULL id stays; repeated rows are scored each; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))
 
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         kinds = [pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
         names = [c.split()[0] for c in SCORES.split(", ")]
         for batch in batches:
@@ -220,13 +224,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` (text and any other columns) that score below ``threshold``, with all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.leak))
     place = docs.columns.index("text")
 
     def keep(batches):
         import pyarrow as pa
 
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in batches:
             clean = [scorer(t.as_py() or "")[0] < threshold for t in batch.column(place)]
             yield batch.filter(pa.array(clean, pa.bool_()))
