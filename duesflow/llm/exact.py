@@ -26,10 +26,17 @@ def _keepers(rows: DataFrame) -> DataFrame:
 
 
 def _colliding(texts: DataFrame, copies: DataFrame) -> DataFrame:
-    """Digests under which some text differs from the text of the row that stays."""
-    keeper = (texts.join(copies, (texts.digest == copies.digest) & texts.doc_id.eqNullSafe(copies.keep_id), "left_semi")
-              .groupBy("digest").agg(F.min("text").alias("kept_text")))
-    return texts.join(keeper, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct()
+    """Digests under which some text differs from the text of the row that stays.
+
+    Texts are shuffled once, for the join that finds the members of groups; only members
+    meet the text that stays. The hints keep one plan at every size: joins by shuffle, in
+    which adaptive execution splits a hot group.
+    """
+    members = stored_table(texts.join(copies.hint("merge"), "digest")
+                           .select("digest", "text", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")))
+    keeper = members.where("stays").groupBy("digest").agg(F.min("text").alias("kept_text"))
+    return (members.join(keeper.hint("merge"), "digest").where(F.col("text") != F.col("kept_text"))
+            .select("digest").distinct())
 
 
 def exact_groups(docs: DataFrame, digest=content_hash) -> DataFrame:
