@@ -34,7 +34,7 @@ def _colliding(texts: DataFrame, copies: DataFrame) -> DataFrame:
     """
     members = stored_table(texts.join(copies.hint("merge"), "digest")
                            .select("digest", "text", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")))
-    keeper = members.where("stays").groupBy("digest").agg(F.min("text").alias("kept_text"))
+    keeper = stored_table(members.where("stays").groupBy("digest").agg(F.min("text").alias("kept_text")))
     return (members.join(keeper.hint("merge"), "digest").where(F.col("text") != F.col("kept_text"))
             .select("digest").distinct())
 
