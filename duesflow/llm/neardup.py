@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duesflow.llm.util import SPACE, stored_table, text_or_empty
+from duesflow.llm.words import WordHasher, mix
 
 WORDS = 5
 BANDS, DEPTH = 10, 3
@@ -21,56 +22,32 @@ RARE = 1e-3  # shingles in a smaller share of the documents all weigh 2
 TABLE = 1 << 16
 
 
-def _mix(x):
-    """A 64-bit hash of whole arrays."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self._most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) >= self._most:
-            self.clear()
-        self[word] = found
-        return found
-
-
 class Shingler:
     """Shingles of texts as 64-bit hashes with counts."""
 
     def __init__(self):
-        self._code = WordHashes().__getitem__
-        self._factors = _mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
+        self._hasher = WordHasher()
+        self._factors = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
     def __call__(self, texts: list[str]):
         """(hashes, counts, starts): the bags of all texts one after the other, hashes ascending in each.
 
-        A text of fewer words than a shingle is one shingle; one without words has none.
+        Letters are lower-cased. A text of fewer words than a shingle is one shingle; one
+        without words has none.
         """
-        words, sizes = [], []
-        for text in texts:
-            found = text.lower().encode("utf-8", "surrogatepass").split()
+        codes, _, _, sizes = self._hasher([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+        short = (sizes > 0) & (sizes < WORDS)
+        if short.any():
             # Blank words fill up short texts, so that every text with words has a whole shingle.
-            found += [b""] * (WORDS - len(found) if found else 0)
-            sizes.append(len(found))
-            words += found
-        codes = np.fromiter(map(self._code, words), np.uint64, len(words))
+            full = np.where(short, WORDS, sizes)
+            filled = np.zeros(full.sum(), np.uint64)
+            filled[np.arange(len(codes)) + np.repeat(np.cumsum(full - sizes) - (full - sizes), sizes)] = codes
+            codes, sizes = filled, full
         n = max(0, len(codes) - WORDS + 1)
         mixed = np.zeros(n, np.uint64)
         for place in range(WORDS):
             mixed += codes[place:place + n] * self._factors[place]
-        mixed = _mix(mixed)
-        sizes = np.array(sizes, np.int64)
+        mixed = mix(mixed)
         shingles = np.maximum(sizes - WORDS + 1, 0)
         begin = np.cumsum(sizes) - sizes
         ends = np.cumsum(shingles)
@@ -139,7 +116,7 @@ class Sampler:
 
     def __init__(self, samples: int = BANDS * DEPTH):
         self.gamma, self.inverse, self.log = _tables()
-        self.seeds = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.seeds = mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def __call__(self, hashes, weights, starts):
         """Samples (bags x samples) of bags that begin at ``starts`` of the arrays."""
@@ -165,25 +142,30 @@ class Sampler:
             # Of equal values the smallest hash, so that the choice does not hang on order.
             first = np.unique(bag[at], return_index=True)[1]
             pick = at[first]
-            out[:, k] = _mix(hashes[pick] + (t[pick].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            out[:, k] = mix(hashes[pick] + (t[pick].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         return out
 
 
-def _bags(batches, size: int):
+def _bags(batches, size: int = 150_000):
     """(keys, hashes, counts, starts) of texts with words, about ``size`` characters at a time."""
     shingler = Shingler()
+
+    def bags(keys, texts):
+        hashes, counts, starts = shingler(texts)
+        full = np.flatnonzero(np.diff(np.append(starts, len(hashes))))
+        return np.array(keys, np.int64)[full], hashes, counts, starts[full]
+
     keys, texts, held = [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text and not text.isspace() and text.encode("utf-8", "surrogatepass").strip():
-                keys.append(key)
-                texts.append(text)
-                held += len(text)
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys.append(key)
+            texts.append(text.as_py() or "")
+            held += len(texts[-1])
             if held >= size:
-                yield np.array(keys, np.int64), *shingler(texts)
+                yield bags(keys, texts)
                 keys, texts, held = [], [], 0
     if keys:
-        yield np.array(keys, np.int64), *shingler(texts)
+        yield bags(keys, texts)
 
 
 def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
@@ -204,7 +186,9 @@ def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
             hashes, df = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_pydict({"h": pa.array(hashes[df >= max(1, ceil(RARE * n))].view(np.int64))})
 
-        for keys, hashes, _, _ in _bags(batches, 400_000):
+        for keys, hashes, _, _ in _bags(batches):
+            if not len(keys):
+                continue
             held.append(hashes)
             n, size = n + len(keys), size + len(hashes)
             if size >= 6_000_000:
@@ -214,7 +198,7 @@ def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
             yield often()
 
     found = stored_table(texts.mapInArrow(candidates, "h long").distinct())
-    named = np.sort(np.array([r.h for r in found.collect()], np.int64).view(np.uint64))
+    named = np.sort(found.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     shared = texts.sparkSession.sparkContext.broadcast(named)
 
     def count(batches):
@@ -222,7 +206,7 @@ def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
 
         named = shared.value
         df = np.zeros(len(named), np.int64)
-        for _, hashes, _, _ in _bags(batches, 400_000):
+        for _, hashes, _, _ in _bags(batches):
             at = np.minimum(np.searchsorted(named, hashes), max(len(named) - 1, 0))
             if len(named):
                 df += np.bincount(at[named[at] == hashes], minlength=len(named))
@@ -230,8 +214,8 @@ def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
         yield pa.RecordBatch.from_pydict({"h": pa.array(named[some].view(np.int64)), "df": pa.array(df[some])})
 
     counted = (texts.mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-               .where(F.col("df") >= RARE * n_docs).collect())
-    return Frequent(np.array([r.h for r in counted], np.int64).view(np.uint64), idf(np.array([r.df for r in counted]), n_docs))
+               .where(F.col("df") >= RARE * n_docs).toPandas())
+    return Frequent(counted["h"].to_numpy(np.int64).view(np.uint64), idf(counted["df"].to_numpy(np.int64), n_docs))
 
 
 def _signatures(texts: DataFrame, shared) -> DataFrame:
@@ -241,12 +225,14 @@ def _signatures(texts: DataFrame, shared) -> DataFrame:
         import pyarrow as pa
 
         frequent, sampler = Frequent(*shared.value), Sampler()
-        for keys, hashes, counts, starts in _bags(batches, 400_000):
+        for keys, hashes, counts, starts in _bags(batches):
+            if not len(keys):
+                continue
             samples = sampler(hashes, frequent(hashes) * counts, starts)
             banded = samples.reshape(len(keys), BANDS, DEPTH)
             bucket = np.zeros((len(keys), BANDS), np.uint64)
             for place in range(DEPTH):
-                bucket = _mix(bucket + banded[:, :, place])
+                bucket = mix(bucket + banded[:, :, place])
             marks = (samples & np.uint64(0xFFFF)).astype(np.uint16).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "uid": pa.array(keys, pa.int64()),
@@ -256,17 +242,18 @@ def _signatures(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(sign, "uid long, buckets array<long>, marks array<int>")
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
-    """``pairs`` (uid, centre) with their exact similarity.
+def _compare(pairs: DataFrame, texts: DataFrame, shared, how: str | None) -> DataFrame:
+    """``pairs`` (uid, centre) with their exact similarity; ``how`` is a join hint, or None.
 
     The text of a centre that many ask for is copied to as many parts as its askers need.
     """
     per_part = 256
+    hinted = lambda df: df.hint(how) if how else df
     asked = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))
     dealt = (pairs.join(asked, "centre")
              .select("uid", "centre", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part")))
-    left = dealt.join(texts.select("uid", F.col("text").alias("left")), "uid")
-    right = (texts.select(F.col("uid").alias("centre"), F.col("text").alias("right")).join(asked, "centre")
+    left = hinted(dealt).join(texts.select("uid", F.col("text").alias("left")), "uid")
+    right = (texts.select(F.col("uid").alias("centre"), F.col("text").alias("right")).join(hinted(asked), "centre")
              .select("centre", "right", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
 
     def measure(batches):
@@ -307,52 +294,60 @@ def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[D
     """
     signed = stored_table(_signatures(texts, shared).join(unique.select("uid"), "uid", "left_semi"))
     marks = signed.select("uid", "marks")
-    spread = signed.select("uid", F.posexplode("buckets").alias("band", "bucket"))
-    key = F.xxhash64("band", "bucket")
-    groups = spread.select("uid", F.col("band").alias("last"), key.alias("key"))
-    links = measured = roots = involved = None
-    first = True
+    spread = signed.select(F.col("uid").alias("owner"), F.posexplode("buckets").alias("band", "bucket"))
+    rooted = lambda df, roots, key, name: df.join(
+        roots.select(F.col("uid").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+    def crowded(groups, roots):
+        """Rows of the groups whose documents are not all connected, with the group's centre."""
+        known = groups.withColumn("root", F.col("uid")) if roots is None else rooted(groups, roots, "uid", "root")
+        met = (known.groupBy("key").agg(F.min("uid").alias("centre"), F.min("root").alias("low"), F.max("root").alias("high"))
+               .where("low < high").select("key", "centre"))
+        return stored_table(groups.join(met, "key"))
+
+    alive = crowded(spread.select(F.col("owner").alias("uid"), F.col("band").alias("last"), F.xxhash64("band", "bucket").alias("key")), None)
+    # From here on only documents that share a bucket with another matter. One plan at every size.
+    involved = stored_table(texts.join(alive.select("uid").distinct().hint("merge"), "uid", "left_semi"))
+    pairs = alive.where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("centre"))
+    links = measured = roots = None
     while True:
-        labelled = groups.withColumn("root", F.col("uid")) if roots is None else (
-            groups.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
-        centre = F.min(F.struct("uid", "root"))
-        met = (labelled.groupBy("key").agg(centre.alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
-               .where("low < high").select("key", F.col("c.uid").alias("centre"), F.col("c.root").alias("centre_root")))
-        alive = stored_table(labelled.join(met, "key"))
-        if involved is None:
-            # From here on only documents that share a bucket with another matter.
-            involved = stored_table(texts.join(alive.select("uid").distinct(), "uid", "left_semi"))
-        wanted = alive.where("root <> centre_root")
-        pairs = wanted.groupBy("uid").agg(F.min("centre").alias("centre")) if first else wanted.select("uid", "centre").distinct()
-        if measured is not None:
-            pairs = pairs.join(measured, ["uid", "centre"], "left_anti")
         theirs = marks.select(F.col("uid").alias("centre"), F.col("marks").alias("theirs"))
         same = F.aggregate(F.zip_with("marks", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
         judged = stored_table(pairs.join(marks, "uid").join(theirs, "centre")
                               .select("uid", "centre", (same >= int(least / 2 * BANDS * DEPTH)).alias("likely")))
-        fresh = stored_table(_compare(judged.where("likely").select("uid", "centre"), involved, shared))
+        fresh = stored_table(_compare(judged.where("likely").select("uid", "centre"), involved, shared, "merge" if roots is None else None))
         passed = fresh.where(F.col("similarity") >= least)
+        edges = passed.select("uid", F.col("centre").alias("other"))
         links = passed if links is None else links.unionByName(passed)
-        measured = judged.select("uid", "centre") if measured is None else measured.unionByName(judged.select("uid", "centre"))
-        roots = _components(links)
-        if first:
-            first = False
-            continue
-        labelled = alive.select("uid", "last", "key").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        later = spread.select("uid", "band", "bucket").withColumnRenamed("uid", "_u")
-        deeper = labelled.join(mixed, "key").select("uid", "last", "key")
-        groups = stored_table(
-            deeper.join(later, (F.col("uid") == F.col("_u")) & (F.col("band") > F.col("last")))
-            .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key")))
-        if groups.isEmpty():
-            return links, roots
+        seen = judged.select("uid", "centre")
+        if roots is None:
+            roots, measured = _components(edges), seen
+        else:
+            roots, measured = _components(edges.unionByName(roots.select("uid", F.col("root").alias("other")))), measured.unionByName(seen)
+            connected = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root")
+            open_keys = connected.where("root <> centre_root").select("key").distinct()
+            deeper = alive.join(open_keys, "key").select("uid", "last", "key")
+            alive = crowded(
+                deeper.join(spread, (F.col("uid") == F.col("owner")) & (F.col("band") > F.col("last")))
+                .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key")), roots)
+            if alive.isEmpty():
+                return links, roots
+        wanted = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root").where("root <> centre_root")
+        pairs = wanted.select("uid", "centre").distinct().join(measured, ["uid", "centre"], "left_anti")
 
 
 def _components(links: DataFrame) -> DataFrame:
-    """(uid, root): the smallest uid connected to each linked document, by repeated star contraction."""
-    edges = stored_table(links.select(F.greatest("uid", "centre").alias("u"), F.least("uid", "centre").alias("v")).distinct())
+    """(uid, root) from links (uid, other): the smallest uid connected to each linked document.
+
+    By repeated star contraction, until a round changes nothing.
+    """
+    edges = stored_table(links.select(F.greatest("uid", "other").alias("u"), F.least("uid", "other").alias("v")).distinct())
+    before = None
     while True:
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before or not mark[0]:
+            return edges.select(F.col("u").alias("uid"), F.col("v").alias("root"))
+        before = mark
         # Larger neighbours move to the smallest neighbour, then smaller ones do.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -360,10 +355,7 @@ def _components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        after = stored_table(small)
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("u").alias("uid"), F.col("v").alias("root"))
-        edges = after
+        edges = stored_table(small)
 
 
 def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
