@@ -198,7 +198,7 @@ def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
             yield often()
 
     found = stored_table(texts.mapInArrow(candidates, "h long").distinct())
-    named = np.sort(found.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    named = np.sort(found.toArrow().column(0).to_numpy().view(np.uint64))
     shared = texts.sparkSession.sparkContext.broadcast(named)
 
     def count(batches):
@@ -214,8 +214,8 @@ def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
         yield pa.RecordBatch.from_pydict({"h": pa.array(named[some].view(np.int64)), "df": pa.array(df[some])})
 
     counted = (texts.mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-               .where(F.col("df") >= RARE * n_docs).toPandas())
-    return Frequent(counted["h"].to_numpy(np.int64).view(np.uint64), idf(counted["df"].to_numpy(np.int64), n_docs))
+               .where(F.col("df") >= RARE * n_docs).toArrow())
+    return Frequent(counted.column(0).to_numpy().view(np.uint64), idf(counted.column(1).to_numpy(), n_docs))
 
 
 def _signatures(texts: DataFrame, shared) -> DataFrame:
@@ -309,21 +309,20 @@ def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[D
     # From here on only documents that share a bucket with another matter. One plan at every size.
     involved = stored_table(texts.join(alive.select("uid").distinct().hint("merge"), "uid", "left_semi"))
     pairs = alive.where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("centre"))
-    links = measured = roots = None
+    links = roots = None
     while True:
         theirs = marks.select(F.col("uid").alias("centre"), F.col("marks").alias("theirs"))
         same = F.aggregate(F.zip_with("marks", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-        judged = stored_table(pairs.join(marks, "uid").join(theirs, "centre")
-                              .select("uid", "centre", (same >= int(least / 2 * BANDS * DEPTH)).alias("likely")))
-        fresh = stored_table(_compare(judged.where("likely").select("uid", "centre"), involved, shared, "merge" if roots is None else None))
-        passed = fresh.where(F.col("similarity") >= least)
-        edges = passed.select("uid", F.col("centre").alias("other"))
-        links = passed if links is None else links.unionByName(passed)
-        seen = judged.select("uid", "centre")
+        likely = (pairs.join(marks, "uid").join(theirs, "centre").where(same >= int(least / 2 * BANDS * DEPTH))
+                  .select("uid", "centre"))
+        # Used three times in the comparison, and texts are moved by it.
+        likely = stored_table(likely)
+        fresh = stored_table(_compare(likely, involved, shared, "merge" if roots is None else None))
+        edges = fresh.where(F.col("similarity") >= least).select("uid", F.col("centre").alias("other"))
         if roots is None:
-            roots, measured = _components(edges), seen
+            measured, roots = fresh, _contracted(edges)
         else:
-            roots, measured = _components(edges.unionByName(roots.select("uid", F.col("root").alias("other")))), measured.unionByName(seen)
+            measured, roots = measured.unionByName(fresh), _contracted(edges.unionByName(roots.select("uid", F.col("root").alias("other"))))
             connected = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root")
             open_keys = connected.where("root <> centre_root").select("key").distinct()
             deeper = alive.join(open_keys, "key").select("uid", "last", "key")
@@ -331,9 +330,26 @@ def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[D
                 deeper.join(spread, (F.col("uid") == F.col("owner")) & (F.col("band") > F.col("last")))
                 .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key")), roots)
             if alive.isEmpty():
-                return links, roots
+                links = measured.where(F.col("similarity") >= least)
+                return links, _components(links.select("uid", F.col("centre").alias("other")))
         wanted = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root").where("root <> centre_root")
-        pairs = wanted.select("uid", "centre").distinct().join(measured, ["uid", "centre"], "left_anti")
+        pairs = wanted.select("uid", "centre").distinct().join(measured.select("uid", "centre"), ["uid", "centre"], "left_anti")
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """(uid, root): one round of star contraction, which joins most but not all that is connected."""
+    return stored_table(_star(links.select(F.greatest("uid", "other").alias("u"), F.least("uid", "other").alias("v")).distinct())
+                        .groupBy(F.col("u").alias("uid")).agg(F.min("v").alias("root")))
+
+
+def _star(edges: DataFrame) -> DataFrame:
+    """One contraction of edges (u, v), v < u: larger neighbours move to the smallest neighbour, then smaller ones do."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    return (large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+            .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -348,14 +364,7 @@ def _components(links: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             return edges.select(F.col("u").alias("uid"), F.col("v").alias("root"))
         before = mark
-        # Larger neighbours move to the smallest neighbour, then smaller ones do.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges = stored_table(small)
+        edges = stored_table(_star(edges))
 
 
 def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
