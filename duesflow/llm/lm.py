@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duesflow.llm.util import stored_table
+from duesflow.llm.words import WordHasher
 
 CLASSES, MEMBERS = 32, 64
 ROWS = 1 << 14
@@ -80,10 +81,6 @@ class Vocabulary:
         tokens = self._joined.split(b" ") if len(self.counts) else []
         return tokens, self.counts, self.total, self.distinct, self.tail_n, self.tail_v
 
-    def ranks(self) -> dict[bytes, int]:
-        # END is white space itself and is kept apart from the split.
-        return {t: r for r, t in enumerate(self._joined.split(b" "))} if len(self.counts) else {}
-
     def log_tail(self):
         """log10 of the room of each tail class, of which a token seen c times takes c + 1 parts."""
         return np.log10(self.tail_n + self.tail_v + 1)
@@ -132,19 +129,64 @@ def learn_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, i
 
 
 class Coder:
-    """Texts as arrays of ranks and codes."""
+    """Ranks and codes of the tokens of many texts at once.
+
+    Words are looked up by their 64-bit hashes, found in a table with open places; the end
+    of a text is a token of its own. Two head tokens with one hash would be taken for one;
+    of 2^18 tokens that happens to one vocabulary in 5 * 10^8.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        self._rank = vocabulary.ranks().get
+        self._hasher = WordHasher()
+        tokens = vocabulary.facts()[0]
+        self._end = tokens.index(END) if END in tokens else -1
         self._codes = np.append(vocabulary.codes, 0)
-
-    def __call__(self, words: list[bytes]):
-        rank = self._rank
-        ranks = np.array([rank(w, -1) for w in words], np.int64)
+        words = [t for t in tokens if t != END]
+        ranks = np.array([r for r, t in enumerate(tokens) if t != END], np.int64)
+        hashes = np.concatenate([self._hasher(words[a:a + 4096])[0] for a in range(0, len(words), 4096)] or [np.empty(0, np.uint64)])
+        self._bits = max(4, int(len(words)).bit_length() + 2)
+        self._keys = np.zeros(1 << self._bits, np.uint64)
+        self._ranks = np.full(1 << self._bits, -1, np.int64)
+        place, left = (hashes >> np.uint64(64 - self._bits)).astype(np.int64), np.arange(len(words))
+        while len(left):
+            # The first of those that want a free place gets it; the others try the next.
+            free = left[self._ranks[place[left]] < 0]
+            _, at = np.unique(place[free], return_index=True)
+            taken = free[at]
+            self._keys[place[taken]], self._ranks[place[taken]] = hashes[taken], ranks[taken]
+            left = np.setdiff1d(left, taken, assume_unique=True)
+            place[left] = (place[left] + 1) & ((1 << self._bits) - 1)
+
+    def _find(self, hashes):
+        found = np.full(len(hashes), -1, np.int64)
+        place, left = (hashes >> np.uint64(64 - self._bits)).astype(np.int64), np.arange(len(hashes))
+        while len(left):
+            at = place[left]
+            ranks = self._ranks[at]
+            hit = self._keys[at] == hashes[left]
+            found[left] = np.where(hit, ranks, -1)
+            left = left[~hit & (ranks >= 0)]
+            place[left] = (place[left] + 1) & ((1 << self._bits) - 1)
+        return found
+
+    def __call__(self, texts: list[str]):
+        """(ranks, codes, text starts, rare): of all tokens in order; rare: (place, token) of those beyond the head."""
+        coded = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        hashes, begin, end, sizes = self._hasher(coded)
+        starts = np.cumsum(sizes + 1) - (sizes + 1)
+        ranks = np.full(len(hashes) + len(texts), self._end, np.int64)
+        # Each text's words move by the ends before them.
+        places = np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), sizes)
+        ranks[places] = found = self._find(hashes)
         codes = self._codes[ranks]
-        for at in np.flatnonzero(ranks < 0).tolist():
-            codes[at] = CLASSES * MEMBERS + tail_class(words[at])
-        return ranks, codes
+        joined = self._hasher.join(coded)
+        missed = np.flatnonzero(found < 0)
+        rare = [(p, joined[a:b]) for p, a, b in zip(places[missed].tolist(), begin[missed].tolist(), end[missed].tolist(), strict=True)]
+        if self._end < 0:
+            rare = sorted(rare + [(int(p), END) for p in starts + sizes])
+        for place, token in rare:
+            codes[place] = CLASSES * MEMBERS + tail_class(token)
+        return ranks, codes, starts, rare
 
 
 def _hash(kind: int, *values):
@@ -156,6 +198,20 @@ def _hash(kind: int, *values):
     return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 14)).astype(np.uint16)
 
 
+def _run_sums(values, first, many):
+    """Sums of the runs of rows that begin at ``first``: long runs one by one, short ones place by place."""
+    out = np.take(values, first, axis=0)
+    ones = np.ones(many.max(initial=1), np.float32)
+    for i in np.flatnonzero(many >= 8).tolist():
+        out[i] = ones[:many[i]] @ values[first[i]:first[i] + many[i]]
+    for place in range(1, 8):
+        at = np.flatnonzero((many > place) & (many < 8))
+        if not len(at):
+            break
+        out[at] += values[first[at] + place]
+    return out
+
+
 class Network:
     """Weights of the class softmax (``top``) and of the member softmax (``inside``)."""
 
@@ -186,9 +242,9 @@ class Network:
 
     @staticmethod
     def _softmax(weights, bias, features):
-        logits = weights[features[0]]
+        logits = np.take(weights, features[0], axis=0)
         for feature in features[1:]:
-            logits += weights[feature]
+            logits += np.take(weights, feature, axis=0)
         logits += bias
         np.minimum(logits, 60, out=logits)
         np.exp(logits, out=logits)
@@ -214,10 +270,13 @@ class Network:
             ordered = feature[order]
             first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             rows = ordered[first]
-            slope = np.add.reduceat(p[order], first, axis=0)
-            seen[rows] += np.einsum("ij,ij->i", slope, slope)
-            touched[rows] += np.diff(np.append(first, len(ordered)))
-            weights[rows] += slope * (rate * np.sqrt(slope.shape[1]) / np.sqrt(seen[rows] + 1.0))[:, None]
+            many = np.diff(np.append(first, len(ordered)))
+            slope = _run_sums(np.take(p, order, axis=0), first, many)
+            squares = seen[rows] + np.einsum("ij,ij->i", slope, slope)
+            seen[rows] = squares
+            touched[rows] += many
+            slope *= (rate * np.sqrt(slope.shape[1]) / np.sqrt(squares + 1.0)).astype(np.float32)[:, None]
+            weights[rows] += slope
 
     def train(self, codes, starts, state, rate):
         """One gradient step; ``state`` holds squared slopes and touches of both weight tables."""
@@ -227,27 +286,30 @@ class Network:
             self._step(self.inside, state[2], state[3], self.inside_bias[target[words]], inner, member, rate)
 
 
-def _batches_of(coder: Coder, batches, size: int):
-    """(codes, starts) of about ``size`` tokens, whole texts in order; long texts are cut into several steps."""
-    codes, starts, held = [], [], 0
+def _texts_of(batches, column: int, size: int = 100_000):
+    """Rows of batches in lists whose texts have about ``size`` characters."""
+    rows, held = [], 0
     for batch in batches:
-        for text in batch.column(0):
-            _, code = coder(tokens_of(text.as_py() or ""))
-            starts.append(held)
-            codes.append(code)
-            held += len(code)
+        for row in zip(*(c if i == column else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
+            text = row[column].as_py() or ""
+            rows.append((*row[:column], text))
+            held += len(text)
             if held >= size:
-                whole = np.concatenate(codes)
-                marks = np.array(starts, np.int64)
-                for at in range(0, len(whole), 2 * size):
-                    part = whole[at:at + 2 * size]
-                    yield part, marks[(marks >= at) & (marks < at + 2 * size)] - at
-                codes, starts, held = [], [], 0
-    if held:
-        yield np.concatenate(codes), np.array(starts, np.int64)
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
+def _batches_of(coder: Coder, batches, size: int):
+    """(codes, starts) of about ``size`` tokens; a long text is cut into several steps."""
+    for rows in _texts_of(batches, 0):
+        _, codes, starts, _ = coder([t for t, in rows])
+        for at in range(0, len(codes), size):
+            yield codes[at:at + size], starts[(starts >= at) & (starts < at + size)] - at
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, *, rate: float = 0.1, step_tokens: int = 8192, fan_in: int = 64) -> Network:
+def train(docs: DataFrame, vocabulary: Vocabulary, *, rate: float = 0.1, step_tokens: int = 4096, fan_in: int = 64) -> Network:
     """Weights trained on all texts of ``docs`` (doc_id, text).
 
     Each partition takes gradient steps over its texts from common weights; the changes are
@@ -355,36 +417,26 @@ def score_texts(docs: DataFrame, held_out, *, rate: float = 0.1) -> DataFrame:
                            ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64())])
         key = TaskContext.get().partitionId() << 40
 
-        def flush(waiting):
-            ranks, codes = np.concatenate([w[2] for w in waiting]), np.concatenate([w[3] for w in waiting])
-            starts = np.cumsum([0] + [len(w[2]) for w in waiting[:-1]])
-            lm = _in_parts(net, codes, starts)
-            sums = [np.add.reduceat(x, starts) for x in (lm + log_inside[ranks], log_base[ranks], (seen[ranks] > 0).astype(np.int64))]
+        for part in _texts_of(batches, 2):
+            ranks, codes, starts, rare = coder([t for *_, t in part])
+            lm = _in_parts(net, codes, starts) + log_inside[ranks]
+            sums = [np.add.reduceat(x, starts) for x in (lm, log_base[ranks], (seen[ranks] > 0).astype(np.int64))]
+            owners = np.searchsorted(starts, [p for p, _ in rare], side="right") - 1
+            rarest = [Counter() for _ in part]
+            for owner, (_, token) in zip(owners.tolist(), rare, strict=True):
+                rarest[owner][token] += 1
+            sizes = np.diff(np.append(starts, len(ranks)))
             rows = []
-            nonlocal key
-            for i, (doc, held, rank, _, rare) in enumerate(waiting):
+            for i, (doc, held, _) in enumerate(part):
                 key += 1
-                once = (doc, held, len(rank), int(sums[2][i]), float(sums[1][i]), float(sums[0][i]))
-                if not rare:
+                once = (doc, held, int(sizes[i]), int(sums[2][i]), float(sums[1][i]), float(sums[0][i]))
+                if not rarest[i]:
                     # A token that no text can hold, so that the row meets nothing and no other row.
                     rows.append((key, b" " + key.to_bytes(8, "big"), 0, 0, *once))
-                for token, n in rare.items():
+                for token, n in rarest[i].items():
                     rows.append((key, token, n, tail_class(token), *once))
                     once = (None,) * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
-
-        waiting, size = [], 0
-        for batch in batches:
-            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = tokens_of(text.as_py())
-                ranks, codes = coder(tokens)
-                waiting.append((doc, held, ranks, codes, Counter(tokens[i] for i in np.flatnonzero(ranks < 0).tolist())))
-                size += len(tokens)
-                if size >= 16384:
-                    yield flush(waiting)
-                    waiting, size = [], 0
-        if waiting:
-            yield flush(waiting)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     rows = texts.select("doc_id", held_out.alias("held"), "text").mapInArrow(
         score, "key long, token binary, n long, class int, " + STATE)

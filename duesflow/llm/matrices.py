@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesflow.llm.tokens import WordCoder
+from duesflow.llm.tokens import WordCoder, coded_texts
 from duesflow.llm.util import open_store, write_whole
 
 SHARDS = "shard string, n_rows long, n_tokens long, n_pieces long, folder string"
@@ -135,14 +135,13 @@ def write_matrices(docs: DataFrame, tokenizer: str, folder: str, *, length: int
                 "n_pieces": [len(doc_ids)], "folder": [folder]})
 
         docs, coded, size, number = [], [], 0, 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc)
-                coded.append(coder.encode(text.as_py() or "") + end)
-                size += len(coded[-1]) // 4
-                if size >= shard_tokens or len(docs) >= shard_docs:
-                    yield shard(number, docs, coded)
-                    docs, coded, size, number = [], [], 0, number + 1
+        for doc, ids in coded_texts(coder, batches):
+            docs.append(doc)
+            coded.append(ids + end)
+            size += len(coded[-1]) // 4
+            if size >= shard_tokens or len(docs) >= shard_docs:
+                yield shard(number, docs, coded)
+                docs, coded, size, number = [], [], 0, number + 1
         if docs:
             yield shard(number, docs, coded)
 

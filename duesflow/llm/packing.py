@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesflow.llm.tokens import WordCoder
+from duesflow.llm.tokens import WordCoder, coded_texts
 from duesflow.llm.util import stored_table
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -117,16 +117,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_i
         schema, part, closed = _arrow_schema(), TaskContext.get().partitionId(), 0
         coder, windows, rows, size = WordCoder(tokenizer), OpenWindows(length, open_windows, slack), [], 0
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = coder.encode(text.as_py() or "") + end
-                total = len(ids) // 4
-                for window in windows.add(doc, 0, total, total, ids):
-                    rows += _row(window, part << 32 | closed, part, True, keep_ids)
-                    closed, size = closed + 1, size + 1
-                if size >= 256:
-                    yield _batch(rows, schema)
-                    rows, size = [], 0
+        for doc, ids in coded_texts(coder, batches):
+            ids += end
+            total = len(ids) // 4
+            for window in windows.add(doc, 0, total, total, ids):
+                rows += _row(window, part << 32 | closed, part, True, keep_ids)
+                closed, size = closed + 1, size + 1
+            if size >= 256:
+                yield _batch(rows, schema)
+                rows, size = [], 0
         for window in windows.rest():
             rows += _row(window, part << 32 | closed, part, False, keep_ids)
             closed += 1

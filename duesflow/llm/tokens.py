@@ -6,8 +6,10 @@ from __future__ import annotations
 class WordCoder:
     """Ids of texts as little-endian uint32 bytes.
 
-    The tokenizer never joins characters over ASCII white space, so each word is
-    encoded once and its ids are kept; the cache is emptied when it is full.
+    The tokenizer never joins characters over ASCII white space, so each word is encoded
+    once and its ids are kept. Words are kept in two tables of at most ``cache`` words: when
+    the younger is full it becomes the older, whose words move back as they are met again.
+    New words are encoded in one call, a special token between them.
     """
 
     def __init__(self, path: str, cache: int = 300_000, longest: int = 64):
@@ -17,30 +19,60 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
+        special = {i: t for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special}
+        self._mark = max(special) if special else None
+        self._between = special[self._mark].content if special else None
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
         self._cache, self._longest = cache, longest
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _coded(self, words: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        new = [w for w in set(words) if w not in self._known]
-        coded = self._tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        found = {w: np.asarray(c.ids, "<u4").tobytes() for w, c in zip(new, coded, strict=True)}
-        if len(self._known) + len(found) > self._cache:
-            self._known.clear()
-            return {}
-        self._known.update((w, ids) for w, ids in found.items() if len(w) <= self._longest)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join(map(self._known.__getitem__, words))
-        except KeyError:
-            out = []
-            for at in range(0, len(words), 50_000):
-                part = words[at:at + 50_000]
-                found = self._learn(part) or self._learn(part)
-                known = self._known
-                out += [known[w] if w in known else found[w] for w in part]
-            return b"".join(out)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self._between is not None and not any(self._between in t for t in texts):
+            joined = self._between.join(texts)
+            ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self._mark)
+            if len(ends) == len(words) - 1:
+                data = ids.tobytes()
+                bounds = zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)
+                return [data[4 * a:4 * b] for a, b in bounds]
+        coded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; texts of some hundred thousand characters at a time serve best."""
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        young, old = self._young, self._old
+        new = []
+        for word in set().union(*split).difference(young):
+            ids = old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                young[word] = ids
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
+            young.update(zip(part, self._coded(part), strict=True))
+        out = [b"".join(map(young.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > self._longest:
+                del young[word]
+        if len(young) >= self._cache:
+            self._young, self._old = {}, young
+        return out
+
+
+def coded_texts(coder: WordCoder, batches, size: int = 300_000):
+    """(id, ids) of (id, text) batches, texts of about ``size`` characters at a time; NULL texts are empty."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys.append(key)
+            texts.append(text.as_py() or "")
+            held += len(texts[-1])
+            if held >= size:
+                yield from zip(keys, coder.encode(texts), strict=True)
+                keys, texts, held = [], [], 0
+    yield from zip(keys, coder.encode(texts), strict=True)
