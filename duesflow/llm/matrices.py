@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesflow.llm.tokens import WordCoder, coded_texts
+from duesflow.llm.tokens import coded_texts, worker_coder
 from duesflow.llm.util import open_store, write_whole
 
 SHARDS = "shard string, n_rows long, n_tokens long, n_pieces long, folder string"
@@ -101,7 +101,7 @@ def write_matrices(docs: DataFrame, tokenizer: str, folder: str, *, length: int
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        coder, end = WordCoder(tokenizer), end_id.to_bytes(4, "little")
+        coder, end = worker_coder(tokenizer), end_id.to_bytes(4, "little")
 
         def shard(number: int, docs: list, coded: list[bytes]):
             rows = best_fit_decreasing([len(c) // 4 for c in coded], length)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesflow.llm.tokens import WordCoder, coded_texts
+from duesflow.llm.tokens import coded_texts, worker_coder
 from duesflow.llm.util import stored_table
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -98,7 +98,7 @@ def _arrow_schema():
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2,
-                   open_windows: int = 64, slack: int = 32, merge: int = 64, keep_ids: bool = True) -> DataFrame:
+                   open_windows: int = 64, slack: int = 32, merge: int = 16, keep_ids: bool = True) -> DataFrame:
     """One row per piece: its document, place in it, ids, and place in a sequence.
 
     ``docs`` holds ``doc_id`` and ``text``; other columns are ignored. A text is
@@ -115,7 +115,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_i
         from pyspark import TaskContext
 
         schema, part, closed = _arrow_schema(), TaskContext.get().partitionId(), 0
-        coder, windows, rows, size = WordCoder(tokenizer), OpenWindows(length, open_windows, slack), [], 0
+        coder, windows, rows, size = worker_coder(tokenizer), OpenWindows(length, open_windows, slack), [], 0
         end = end_id.to_bytes(4, "little")
         for doc, ids in coded_texts(coder, batches):
             ids += end

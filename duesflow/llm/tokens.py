@@ -22,10 +22,16 @@ class WordCoder:
         special = {i: t for i, t in self._tokenizer.get_added_tokens_decoder().items() if t.special}
         self._mark = max(special) if special else None
         self._between = special[self._mark].content if special else None
+        probe = self._tokenizer.encode_batch_fast(["Az", "az"], add_special_tokens=False)
+        self._lowers = probe[0].ids == probe[1].ids
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
         self._cache, self._longest = cache, longest
 
+    def _folded(self, text: bytes) -> bytes:
+        """ASCII letters in lower case where the tokenizer does so itself, as long as that makes no special token."""
+        return text.lower() if self._lowers and b"<|" not in text else text
+
     def _coded(self, words: list[bytes]) -> list[bytes]:
         import numpy as np
 
@@ -43,7 +49,7 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; texts of some hundred thousand characters at a time serve best."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        split = [self._folded(t.encode("utf-8", "surrogatepass")).split() for t in texts]
         young, old = self._young, self._old
         new = []
         for word in set().union(*split).difference(young):
@@ -64,6 +70,21 @@ class WordCoder:
         return out
 
 
+def worker_coder(path: str) -> WordCoder:
+    """The coder of this Python worker, which keeps its words from task to task.
+
+    Functions shipped by value have globals of their own in every task, so the coder is
+    kept in a module made for it. Its size is bounded; a new worker starts with none.
+    """
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_kept_word_coders", types.ModuleType("_kept_word_coders"))
+    if path not in vars(kept):
+        setattr(kept, path, WordCoder(path, cache=400_000))
+    return getattr(kept, path)
+
+
 def coded_texts(coder: WordCoder, batches, size: int = 300_000):
     """(id, ids) of (id, text) batches, texts of about ``size`` characters at a time; NULL texts are empty."""
     keys, texts, held = [], [], 0
