@@ -3,6 +3,19 @@
 from __future__ import annotations
 
 
+# Marks that the tokenizer cuts from a letter or digit before them; no apostrophe, no part of a special token.
+TAIL = b'.,;:!?%&$*#)("-'
+
+
+def _parted(word: bytes) -> tuple[bytes, bytes] | None:
+    """The word without the marks at its end, and these, where the tokenizer codes the two apart."""
+    core = word.rstrip(TAIL)
+    if not core or len(core) == len(word):
+        return None
+    last = core[-4:].decode("utf-8", "ignore")[-1:]
+    return (core, word[len(core):]) if last.isalpha() or last in "0123456789" else None
+
+
 class WordCoder:
     """Ids of texts as little-endian uint32 bytes.
 
@@ -58,11 +71,17 @@ class WordCoder:
                 new.append(word)
             else:
                 young[word] = ids
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            young.update(zip(part, self._coded(part), strict=True))
+        parts = {word: part for word in new if (part := _parted(word))}
+        wanted = {p for part in parts.values() for p in part}.difference(young)
+        wanted.update(w for w in new if w not in parts)
+        young.update((w, old[w]) for w in wanted if w in old)
+        fresh = [w for w in wanted if w not in young]
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at:at + 20_000]
+            young.update(zip(some, self._coded(some), strict=True))
+        young.update((w, young[a] + young[b]) for w, (a, b) in parts.items())
         out = [b"".join(map(young.__getitem__, words)) for words in split]
-        for word in new:
+        for word in {*new, *wanted}:
             if len(word) > self._longest:
                 del young[word]
         if len(young) >= self._cache:
