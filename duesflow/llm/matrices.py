@@ -94,6 +94,7 @@ def write_matrices(docs: DataFrame, tokenizer: str, folder: str, *, length: int
 
     def write(batches):
         import io
+        import zipfile
 
         import numpy as np
         import pyarrow as pa
@@ -107,7 +108,7 @@ def write_matrices(docs: DataFrame, tokenizer: str, folder: str, *, length: int
             rows = best_fit_decreasing([len(c) // 4 for c in coded], length)
             ids = np.full((len(rows), length), end_id, "<u4")
             resets = np.zeros((len(rows), length), bool)
-            cumulative, row_starts, doc_ids, starts = [], [0], [], []
+            cumulative, row_starts, docs_of, starts = [], [0], [], []
             for r, row in enumerate(rows):
                 at = 0
                 cumulative.append(0)
@@ -116,23 +117,27 @@ def write_matrices(docs: DataFrame, tokenizer: str, folder: str, *, length: int
                     resets[r, at] = True
                     at += size
                     cumulative.append(at)
-                    doc_ids.append(docs[item])
+                    docs_of.append(docs[item])
                     starts.append(start)
                 if at < length:
                     resets[r, at] = True
                 row_starts.append(len(cumulative))
             name = f"shard-{part:06d}-{number:05d}.npz"
             packed = io.BytesIO()
-            np.savez_compressed(
-                packed, ids=ids.astype("<u2") if ids.max() < 1 << 16 else ids, resets=np.packbits(resets, axis=1),
-                cu_seqlens=np.array(cumulative, "<i8"), row_starts=np.array(row_starts, "<i8"),
-                doc_ids=np.array([d or 0 for d in doc_ids], "<i8"), known=np.array([d is not None for d in doc_ids]),
-                starts=np.array(starts, "<i8"))
+            arrays = {
+                "ids": ids.astype("<u2") if ids.max() < 1 << 16 else ids, "resets": np.packbits(resets, axis=1),
+                "cu_seqlens": np.array(cumulative, "<i8"), "row_starts": np.array(row_starts, "<i8"),
+                "doc_ids": np.array([d or 0 for d in docs_of], "<i8"), "known": np.array([d is not None for d in docs_of]),
+                "starts": np.array(starts, "<i8")}
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
+                for key, array in arrays.items():
+                    with archive.open(f"{key}.npy", "w", force_zip64=True) as file:
+                        np.lib.format.write_array(file, array)
             with write_whole(folder, name, attempt) as out:
                 out.write(packed.getbuffer())
             return pa.RecordBatch.from_pydict({
                 "shard": [name], "n_rows": [len(rows)], "n_tokens": [sum(len(c) for c in coded) // 4],
-                "n_pieces": [len(doc_ids)], "folder": [folder]})
+                "n_pieces": [len(docs_of)], "folder": [folder]})
 
         docs, coded, size, number = [], [], 0, 0
         for doc, ids in coded_texts(coder, batches):

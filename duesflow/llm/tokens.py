@@ -62,25 +62,29 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; texts of some hundred thousand characters at a time serve best."""
-        split = [self._folded(t.encode("utf-8", "surrogatepass")).split() for t in texts]
         young, old = self._young, self._old
-        new = []
-        for word in set().union(*split).difference(young):
-            ids = old.get(word)
-            if ids is None:
-                new.append(word)
-            else:
-                young[word] = ids
+        split, found, new = [], [], set()
+        for text in texts:
+            words = self._folded(text.encode("utf-8", "surrogatepass")).split()
+            ids = list(map(young.get, words))
+            split.append(words)
+            found.append(ids)
+            if None in ids:
+                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
+        young.update((w, old[w]) for w in new if w in old)
+        new.difference_update(young)
         parts = {word: part for word in new if (part := _parted(word))}
-        wanted = {p for part in parts.values() for p in part}.difference(young)
+        wanted = {p for part in parts.values() for p in part}
         wanted.update(w for w in new if w not in parts)
+        wanted = {w for w in wanted if w not in young}
         young.update((w, old[w]) for w in wanted if w in old)
         fresh = [w for w in wanted if w not in young]
         for at in range(0, len(fresh), 20_000):
             some = fresh[at:at + 20_000]
             young.update(zip(some, self._coded(some), strict=True))
         young.update((w, young[a] + young[b]) for w, (a, b) in parts.items())
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
+        out = [b"".join([young[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
+               for words, ids in zip(split, found, strict=True)]
         for word in {*new, *wanted}:
             if len(word) > self._longest:
                 del young[word]
