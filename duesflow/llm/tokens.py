@@ -72,7 +72,7 @@ class WordCoder:
             if None in ids:
                 new.update(w for w, i in zip(words, ids, strict=True) if i is None)
         young.update((w, old[w]) for w in new if w in old)
-        new.difference_update(young)
+        new = [w for w in new if w not in young]
         parts = {word: part for word in new if (part := _parted(word))}
         wanted = {p for part in parts.values() for p in part}
         wanted.update(w for w in new if w not in parts)
