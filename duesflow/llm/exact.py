@@ -64,7 +64,7 @@ def exact_groups(docs: DataFrame, digest=content_hash) -> DataFrame:
 
         def apart(df: DataFrame, full: Column) -> DataFrame:
             return (df.join(marked, "digest", "left")
-                    .withColumn("digest", F.when("bad", F.concat("digest", F.unhex(full))).otherwise(F.col("digest")))
+                    .withColumn("digest", F.when(F.col("bad"), F.concat("digest", F.unhex(full))).otherwise(F.col("digest")))
                     .drop("bad"))
 
         rows, texts = apart(rows, F.col("text_sha256")), apart(texts, sha)

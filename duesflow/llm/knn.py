@@ -160,8 +160,9 @@ def _solve(whole: DataFrame, dim: int, longest: float, k: int, every: int, n_piv
             for g, wide, reached in zip(groups, radii, reaches, strict=True):
                 # No query of the group is nearer to x than this.
                 gap = np.abs(between[g][cell] - far) - wide
-                need = np.flatnonzero(gap <= reached)
-                if len(need):
+                needed = np.flatnonzero(gap <= reached)
+                for at in range(0, len(needed), 1024):
+                    need = needed[at:at + 1024]
                     yield pa.RecordBatch.from_pydict({
                         "cell": pa.array([int(g)], pa.int32()), "block": pa.array([part << 32 | number], pa.int64()),
                         "ids": pa.array([ids[need].tobytes()], pa.binary()),
@@ -185,7 +186,8 @@ def _solve(whole: DataFrame, dim: int, longest: float, k: int, every: int, n_piv
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for number in range(batch.num_rows):
+                row = batch.slice(number, 1).to_pylist()[0]
                 ids = np.frombuffer(row["ids"], np.int64)
                 x = np.frombuffer(row["x"], np.float64 if row["wide"] else np.int32).reshape(len(ids), dim).astype(np.float64)
                 q = np.frombuffer(b"".join(p["x"] for p in row["queries"])).reshape(-1, dim)

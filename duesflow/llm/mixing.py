@@ -18,7 +18,7 @@ from duesflow.operators.numbering import id_bucket, number_rows
 UNIT = 1 << 31
 GOLDEN = 1327217885  # UNIT divided by the golden ratio; odd, so a period visits every point once
 CELL = 1 << 19
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 
 
 def word_count(name: str = "text") -> Column:
