@@ -40,12 +40,13 @@ def present(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Da
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
-    """The first row per key in a stated order.
+    """The first row per key in a stated order; of columns given by name, known values come before NULL.
 
     The filter on the row number is pushed below the shuffle as a group limit,
     so every task sends on one row per key however large the group is.
     """
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order_by))
+    order = [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order_by]
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 

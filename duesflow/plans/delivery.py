@@ -137,22 +137,40 @@ def take_in(
 def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt.date, last: dt.date) -> None:
     """Bill the months from ``first`` to ``last`` and replace their partitions.
 
-    The account table with the closing balances goes to the new folder
-    ``accounts``. The month before ``first``, if it was billed, gives the debts
-    to carry.
+    The bill of the month before, if there is one, gives the opening balances, and its lines
+    the debts to carry: payments that came in since are applied to them first, and that
+    month's lines and applications are replaced. Without one, the accounts open. The account
+    table with the closing balances goes to the new folder ``accounts``.
     """
     buildings, units, opening = (_read(spark, masters, t) for t in ("Consorcio", "UnidadFuncional", "CuentaBancaria"))
-    payments = _read(spark, facts, "Pago")
     start, end = F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")
+
+    def days(name, low, high):
+        """Days from month ``low`` up to month ``high``, counted from ``start`` and ``end``, as a range that reaches the scan."""
+        return (F.col(name) >= F.add_months(start, low)) & (F.col(name) < F.add_months(end, high))
+
+    # Late payments of the month before are advances; the month after pays the last bill.
+    payments = _read(spark, facts, "Pago").where(days("fecha", -1, 2))
     in_months = {}
     for table in ("GastoOrdinario", "GastoExtraordinario"):
-        issued = dates.period(F.col(FACT_DAY[table])).between(start, end)
         # Costs stamped by an earlier run of these months are billed again.
-        in_months[table] = _read(spark, facts, table).where(issued).withColumn(
+        in_months[table] = _read(spark, facts, table).where(days(FACT_DAY[table], 0, 1)).withColumn(
             "idExpensa", F.lit(None).cast("bigint"))
-    due = dates.period(F.col("primerVencimiento"))
-    before = _read(spark, facts, "DetalleExpensa").where(due == F.add_months(start, -1)).select(
-        "idUnidadFuncional", due.alias("periodo"),
+    month_before = F.add_months(start, -1)
+    # Through the work folder: the run replaces files of the tables it reads here.
+    billed = cut_lineage(_read(spark, facts, "Expensa").where(
+        (F.col("fechaPeriodoAnio") == F.year(month_before)) & (F.col("fechaPeriodoMes") == F.month(month_before))))
+    opening = billing.settle_accounts(opening, buildings, billed.withColumn("periodo", month_before))
+    old_lines = _read(spark, facts, "DetalleExpensa").where(
+        (F.col("primerVencimiento") >= month_before) & (F.col("primerVencimiento") < start))
+    late = cut_lineage(billing.apply_payments(payments, units, old_lines, billed))
+    old_lines = cut_lineage(billing.refresh_lines(old_lines, late, payments))
+    sinks.overwrite_partitions(_by_month(old_lines, "primerVencimiento").sortWithinPartitions(*MONTH, "idUnidadFuncional"),
+                               f"{facts}/DetalleExpensa", MONTH)
+    sinks.overwrite_partitions(_by_month(late.withColumn("_periodo", month_before), "_periodo").drop("_periodo"),
+                               f"{facts}/PagoAplicado", MONTH)
+    before = old_lines.select(
+        "idUnidadFuncional", dates.period(F.col("primerVencimiento")).alias("periodo"),
         (F.col("totalaPagar") - F.col("pagosRecibidos")).alias("deuda"), F.col("pagosRecibidos").alias("pagado"))
     run = billing.billing_batch(
         buildings, opening, units, payments, in_months["GastoOrdinario"], in_months["GastoExtraordinario"],

@@ -36,11 +36,14 @@ def get_spark(app: str = "duesflow", master: str | None = None, **conf: str) ->
 def work_dir(spark: SparkSession) -> str:
     """A new folder for one job's files, below ``spark.checkpoint.dir``.
 
-    Only where the cluster names no shared folder (tests, local runs) does a
-    local temporary folder take its place.
+    Only where no shared folder is named and the master is local (tests) does a
+    temporary folder take its place; on a cluster that is an error, because
+    executors and driver would each see a folder of their own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="duesflow-")
     return os.path.join(shared, f"duesflow-{uuid.uuid4().hex}")
 

@@ -34,10 +34,11 @@ def replace_table(df: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, root: str, table: str, sort_by: Sequence[str] = (),
                 partition_by: Sequence[str] = ()) -> None:
-    """Write a ledger table, rows sorted within files so that scans can skip row groups."""
+    """Replace a ledger table as a whole, rows sorted within files so that scans can skip row groups."""
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/{table}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*partition_by).parquet(f"{root}/{table}")
 
 
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:

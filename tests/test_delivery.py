@@ -46,3 +46,25 @@ def test_delivery_and_billing(spark, tmp_path):
     report = quality_report(after).where("violaciones > 0").collect()
     assert {(r.tabla, r.regla, r.columnas) for r in report} == {("Consorcio", "reference", "CVU_CBU")} or not report
     assert set(schemas.TABLES) == set(got)
+
+
+def test_single_months_equal_one_run(spark, tmp_path):
+    """Two months billed one by one, payments arriving in between, against one run over both."""
+    drop = fixtures.write_all(str(tmp_path))
+    april, may = dt.date(2025, 4, 1), dt.date(2025, 5, 1)
+    masters = [str(tmp_path / n) for n in ("m1", "m2", "m3")]
+    whole, single = str(tmp_path / "whole"), str(tmp_path / "single")
+    delivery.take_in(spark, drop, None, masters[0], whole, AS_OF, extraordinary=20)
+    delivery.bill(spark, masters[0], whole, str(tmp_path / "a0"), april, may)
+    delivery.take_in(spark, {k: v for k, v in drop.items() if k != "payments"}, None, masters[1], single, AS_OF, extraordinary=20)
+    delivery.bill(spark, masters[1], single, str(tmp_path / "a1"), april, april)
+    delivery.take_in(spark, {"payments": drop["payments"]}, masters[1], masters[2], single, AS_OF)
+    delivery.bill(spark, masters[2], single, str(tmp_path / "a2"), april, april)
+    delivery.bill(spark, masters[2], single, str(tmp_path / "a3"), may, may)
+    for table, columns in (
+        ("Expensa", ("id", "saldoAnterior", "ingresosEnTermino", "egresos", "saldoCierre")),
+        ("DetalleExpensa", ("id", "totalaPagar", "pagosRecibidos", "interesMora", "saldoAnteriorAbonado")),
+        ("PagoAplicado", ("idPago", "idDetalleExpensa", "importeAplicado")),
+    ):
+        one, many = (sorted(delivery._read(spark, f, table).select(*columns).collect()) for f in (whole, single))
+        assert one == many, table
