@@ -305,11 +305,13 @@ def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[D
                .where("low < high").select("key", "centre"))
         return stored_table(groups.join(met, "key"))
 
-    alive = crowded(spread.select(F.col("owner").alias("uid"), F.col("band").alias("last"), F.xxhash64("band", "bucket").alias("key")), None)
+    # ``old``: the centre of the bucket that a part was cut from, with which its documents were compared.
+    alive = crowded(spread.select(F.col("owner").alias("uid"), F.col("band").alias("last"), F.xxhash64("band", "bucket").alias("key"),
+                                  F.lit(None).cast("long").alias("old")), None)
     # From here on only documents that share a bucket with another matter. One plan at every size.
     involved = stored_table(texts.join(alive.select("uid").distinct().hint("merge"), "uid", "left_semi"))
     pairs = alive.where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("centre"))
-    links = roots = None
+    passed, roots = [], None
     while True:
         theirs = marks.select(F.col("uid").alias("centre"), F.col("marks").alias("theirs"))
         same = F.aggregate(F.zip_with("marks", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
@@ -318,22 +320,25 @@ def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[D
         # Used three times in the comparison, and texts are moved by it.
         likely = stored_table(likely)
         fresh = stored_table(_compare(likely, involved, shared, "merge" if roots is None else None))
-        edges = fresh.where(F.col("similarity") >= least).select("uid", F.col("centre").alias("other"))
-        if roots is None:
-            measured, roots = fresh, _contracted(edges)
-        else:
-            measured, roots = measured.unionByName(fresh), _contracted(edges.unionByName(roots.select("uid", F.col("root").alias("other"))))
+        passed.append(fresh.where(F.col("similarity") >= least))
+        edges = passed[-1].select("uid", F.col("centre").alias("other"))
+        first = roots is None
+        roots = _contracted(edges if first else edges.unionByName(roots.select("uid", F.col("root").alias("other"))))
+        if not first:
             connected = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root")
             open_keys = connected.where("root <> centre_root").select("key").distinct()
-            deeper = alive.join(open_keys, "key").select("uid", "last", "key")
+            deeper = alive.join(open_keys, "key").select("uid", "last", "key", F.col("centre").alias("old"))
             alive = crowded(
                 deeper.join(spread, (F.col("uid") == F.col("owner")) & (F.col("band") > F.col("last")))
-                .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key")), roots)
+                .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key"), "old"), roots)
             if alive.isEmpty():
-                links = measured.where(F.col("similarity") >= least)
+                links = passed[0]
+                for more in passed[1:]:
+                    links = links.unionByName(more)
+                links = links.dropDuplicates(["uid", "centre"])
                 return links, _components(links.select("uid", F.col("centre").alias("other")))
         wanted = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root").where("root <> centre_root")
-        pairs = wanted.select("uid", "centre").distinct().join(measured.select("uid", "centre"), ["uid", "centre"], "left_anti")
+        pairs = wanted.where(~F.col("centre").eqNullSafe(F.col("old"))).select("uid", "centre").distinct()
 
 
 def _contracted(links: DataFrame) -> DataFrame:
