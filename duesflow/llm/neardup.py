@@ -20,6 +20,7 @@ WORDS = 5
 BANDS, DEPTH = 10, 3
 RARE = 1e-3  # shingles in a smaller share of the documents all weigh 2
 TABLE = 1 << 16
+BUCKET_BITS = 22
 
 
 class Shingler:
@@ -72,14 +73,14 @@ def idf(df, n_docs: int):
 
 
 class Frequent:
-    """IDF of the shingles that at least a share ``RARE`` of the documents hold; all others weigh 2."""
+    """IDF of the shingles that at least a share ``RARE`` of the documents hold; all others weigh ``other``."""
 
-    def __init__(self, hashes, weights):
+    def __init__(self, hashes, weights, other: float = 2.0):
         order = np.argsort(hashes)
-        self.hashes, self.weights = np.asarray(hashes)[order], np.asarray(weights)[order]
+        self.hashes, self.weights, self.other = np.asarray(hashes)[order], np.asarray(weights)[order], other
 
     def __call__(self, hashes):
-        out = np.full(len(hashes), 2.0)
+        out = np.full(len(hashes), self.other)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
@@ -168,54 +169,86 @@ def _bags(batches, size: int = 150_000):
         yield bags(keys, texts)
 
 
-def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
-    """Document frequencies of all shingles that ``RARE`` of the documents hold, exactly.
+def _held(batches, size: int = 2_000_000):
+    """Shingles of many texts at a time, one entry per text that holds one."""
+    held, n = [], 0
+    for _, hashes, _, _ in _bags(batches):
+        held.append(hashes)
+        n += len(hashes)
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def _full_buckets(texts: DataFrame, least: int):
+    """Whether each of the 2^BUCKET_BITS buckets of shingles is met at least ``least`` times in all texts.
 
-    A shingle that frequent is as frequent in at least one stretch of texts, so the stretches
-    name candidates and a second pass counts these. There are at most (shingles per document)
-    / ``RARE`` such shingles, whatever the number of documents. Runs jobs.
+    Tasks count buckets, and 64 tasks' counts at a time are added up, block by block and
+    round by round. Counts stop at ``least``, which changes no answer. Runs jobs.
     """
-    from math import ceil
+    blocks, fan_in, schema = 64, 64, "part long, block int, counts binary"
+    width = (1 << BUCKET_BITS) // blocks
 
-    def candidates(batches):
+    def count(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        met = np.zeros(1 << BUCKET_BITS, np.int64)
+        for hashes in _held(batches):
+            met += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(met))
+        part = TaskContext.get().partitionId()
+        for block in range(blocks):
+            some = np.minimum(met[block * width:(block + 1) * width], least).astype(np.int32)
+            if some.any():
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part], pa.int64()), "block": pa.array([block], pa.int32()), "counts": pa.array([some.tobytes()])})
+
+    def add(table):
         import pyarrow as pa
 
-        held, n, size = [], 0, 0
+        total = np.zeros(width, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_py(), np.int32)
+        return pa.table({"part": table.column("part")[:1], "block": table.column("block")[:1],
+                         "counts": pa.array([np.minimum(total, least).astype(np.int32).tobytes()])})
+
+    counted = texts.mapInArrow(count, schema)
+    while True:
+        counted = stored_table(counted.withColumn("part", F.floor(F.col("part") / fan_in))
+                               .groupBy("part", "block").applyInArrow(add, schema))
+        if not counted.agg(F.max("part")).first()[0]:
+            break
+    full = np.zeros(1 << BUCKET_BITS, bool)
+    for row in counted.toLocalIterator():
+        full[row.block * width:(row.block + 1) * width] = np.frombuffer(row.counts, np.int32) >= least
+    return full
 
-        def often():
-            hashes, df = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"h": pa.array(hashes[df >= max(1, ceil(RARE * n))].view(np.int64))})
 
-        for keys, hashes, _, _ in _bags(batches):
-            if not len(keys):
-                continue
-            held.append(hashes)
-            n, size = n + len(keys), size + len(hashes)
-            if size >= 6_000_000:
-                yield often()
-                held, n, size = [], 0, 0
-        if held:
-            yield often()
-
-    found = stored_table(texts.mapInArrow(candidates, "h long").distinct())
-    named = np.sort(found.toArrow().column(0).to_numpy().view(np.uint64))
-    shared = texts.sparkSession.sparkContext.broadcast(named)
+def learn_frequent(texts: DataFrame, n_docs: int) -> Frequent:
+    """Document frequencies of all shingles that ``RARE`` of the documents, and at least two, hold, exactly.
+
+    The first pass counts buckets of shingles; the second counts the shingles of buckets that
+    are met often enough, and Spark adds these up. There are at most (shingles per document)
+    / ``RARE`` such shingles, whatever the number of documents, and only they and one bit per
+    bucket reach the driver. Below 1 / ``RARE`` documents all others are in one document. Runs jobs.
+    """
+    least = max(2, int(np.ceil(RARE * n_docs)))
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(np.packbits(_full_buckets(texts, least)))
 
     def count(batches):
         import pyarrow as pa
 
-        named = shared.value
-        df = np.zeros(len(named), np.int64)
-        for _, hashes, _, _ in _bags(batches):
-            at = np.minimum(np.searchsorted(named, hashes), max(len(named) - 1, 0))
-            if len(named):
-                df += np.bincount(at[named[at] == hashes], minlength=len(named))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"h": pa.array(named[some].view(np.int64)), "df": pa.array(df[some])})
+        full = np.unpackbits(shared.value).view(bool)
+        for hashes in _held(batches):
+            named, df = np.unique(hashes[full[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(named.view(np.int64)), "df": pa.array(df.astype(np.int64))})
 
     counted = (texts.mapInArrow(count, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-               .where(F.col("df") >= RARE * n_docs).toArrow())
-    return Frequent(counted.column(0).to_numpy().view(np.uint64), idf(counted.column(1).to_numpy(), n_docs))
+               .where(F.col("df") >= least).toArrow())
+    return Frequent(counted.column(0).to_numpy().view(np.uint64), idf(counted.column(1).to_numpy(), n_docs), float(idf(1, n_docs)))
 
 
 def _signatures(texts: DataFrame, shared) -> DataFrame:
@@ -393,7 +426,7 @@ def _classes(held: DataFrame, least: float) -> DataFrame:
     unique = stored_table(rows.groupBy("same").agg(F.min("uid").alias("uid")))
     texts = held.select("uid", "text")
     frequent = learn_frequent(texts, max(1, rows.count()))
-    shared = held.sparkSession.sparkContext.broadcast((frequent.hashes, frequent.weights))
+    shared = held.sparkSession.sparkContext.broadcast((frequent.hashes, frequent.weights, frequent.other))
     links, roots = _links(texts, unique, shared, least)
     ends = links.select("uid").unionByName(links.select(F.col("centre").alias("uid")))
     n_links = ends.groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
