@@ -328,19 +328,17 @@ def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[D
     signed = stored_table(_signatures(texts, shared).join(unique.select("uid"), "uid", "left_semi"))
     marks = signed.select("uid", "marks")
     spread = signed.select(F.col("uid").alias("owner"), F.posexplode("buckets").alias("band", "bucket"))
-    rooted = lambda df, roots, key, name: df.join(
-        roots.select(F.col("uid").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-
-    def crowded(groups, roots):
-        """Rows of the groups whose documents are not all connected, with the group's centre."""
-        known = groups.withColumn("root", F.col("uid")) if roots is None else rooted(groups, roots, "uid", "root")
-        met = (known.groupBy("key").agg(F.min("uid").alias("centre"), F.min("root").alias("low"), F.max("root").alias("high"))
-               .where("low < high").select("key", "centre"))
+
+    def crowded(groups):
+        """Rows of the groups whose documents are not all connected, with the group's centre and its root."""
+        met = (groups.groupBy("key").agg(F.min("uid").alias("centre"), F.min_by("root", "uid").alias("centre_root"),
+                                         F.min("root").alias("low"), F.max("root").alias("high"))
+               .where("low < high").drop("low", "high"))
         return stored_table(groups.join(met, "key"))
 
     # ``old``: the centre of the bucket that a part was cut from, with which its documents were compared.
     alive = crowded(spread.select(F.col("owner").alias("uid"), F.col("band").alias("last"), F.xxhash64("band", "bucket").alias("key"),
-                                  F.lit(None).cast("long").alias("old")), None)
+                                  F.lit(None).cast("long").alias("old"), F.col("owner").alias("root")))
     # From here on only documents that share a bucket with another matter. One plan at every size.
     involved = stored_table(texts.join(alive.select("uid").distinct().hint("merge"), "uid", "left_semi"))
     pairs = alive.where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("centre"))
@@ -357,20 +355,25 @@ def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[D
         edges = passed[-1].select("uid", F.col("centre").alias("other"))
         first = roots is None
         roots = _contracted(edges if first else edges.unionByName(roots.select("uid", F.col("root").alias("other"))))
-        if not first:
-            connected = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root")
-            open_keys = connected.where("root <> centre_root").select("key").distinct()
-            deeper = alive.join(open_keys, "key").select("uid", "last", "key", F.col("centre").alias("old"))
+        known = (alive.drop("root", "centre_root").join(roots, "uid", "left")
+                 .withColumn("root", F.coalesce("root", "uid")))
+        if first:
+            alive = crowded(known.drop("centre"))
+        else:
+            # A centre is in its own group, so a group is connected when all its roots are the same.
+            open_keys = (known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                         .where("low < high").select("key"))
+            deeper = known.join(open_keys, "key").select("uid", "last", "key", F.col("centre").alias("old"), "root")
             alive = crowded(
                 deeper.join(spread, (F.col("uid") == F.col("owner")) & (F.col("band") > F.col("last")))
-                .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key"), "old"), roots)
+                .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key"), "old", "root"))
             if alive.isEmpty():
                 links = passed[0]
                 for more in passed[1:]:
                     links = links.unionByName(more)
                 links = links.dropDuplicates(["uid", "centre"])
                 return links, _components(links.select("uid", F.col("centre").alias("other")))
-        wanted = rooted(rooted(alive, roots, "uid", "root"), roots, "centre", "centre_root").where("root <> centre_root")
+        wanted = alive.where("root <> centre_root")
         pairs = wanted.where(~F.col("centre").eqNullSafe(F.col("old"))).select("uid", "centre").distinct()
 
 
