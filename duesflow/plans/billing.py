@@ -27,9 +27,6 @@ AFTER_FIRST_DUE = "0.02"
 AFTER_SECOND_DUE = "0.05"
 
 EXACT = "decimal(28,6)"
-# Up to this many headers (about 100 bytes each) travel to every executor.
-BROADCAST_HEADERS = 200_000
-BUILDING_SALTS = 32
 
 
 def _rate(text: str) -> Column:
@@ -194,21 +191,21 @@ def _carried_cents(bills: Column, paid: Column, percent: Column, start: Column)
     return F.aggregate(bills, empty, step, lambda state: state.arrastres)
 
 
-def _with_bills(rows: DataFrame, bills: DataFrame, tasks: int, few_bills: bool) -> DataFrame:
+def _with_bills(rows: DataFrame, bills: DataFrame) -> DataFrame:
     """Join the array of bills to the units of the building.
 
-    A few bills are broadcast. Otherwise both sides meet by building and salt,
-    so that the units of one very large building spread over many tasks.
+    Both sides meet by building and salt, so that the units of one very large
+    building spread over all shuffle partitions; Spark broadcasts the bills
+    instead where their measured size allows.
     """
-    if few_bills:
-        return rows.join(F.broadcast(bills), "consorcioId")
-    salted = rows.withColumn("_salt", F.pmod(F.hash("CVU_CBU"), F.lit(BUILDING_SALTS)))
-    copies = bills.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BUILDING_SALTS - 1))))
-    return salted.repartition(tasks, "consorcioId", "_salt").join(copies, ["consorcioId", "_salt"]).drop("_salt")
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.hash("idUnidadFuncional"), F.lit(salts)))
+    copies = bills.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["consorcioId", "_salt"]).drop("_salt")
 
 
 def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
-                  previous: DataFrame | None = None, few_bills: bool = False) -> DataFrame:
+                  previous: DataFrame | None = None) -> DataFrame:
     """All lines of all bills with debts carried from month to month.
 
     A building's bills travel as one array per building and a unit's payments
@@ -216,7 +213,7 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
     is shuffled; the lines come into being after the last join. Only a debt of
     the calendar month before is carried. ``previous`` may hold
     (idUnidadFuncional, periodo, deuda, pagado) of the bill before the first
-    month. ``few_bills`` states that the headers are few enough to broadcast.
+    month.
     """
     in_order = W.partitionBy("consorcioId").orderBy("periodo")
     bills = (
@@ -229,22 +226,19 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
         ))).alias("facturas"))
     )
     month = F.add_months("mes", -1)
-    settled = paid.groupBy("CVU_CBU").agg(
+    settled = paid.groupBy(F.col("CVU_CBU").alias("_cuenta")).agg(
         F.map_from_entries(F.collect_list(F.struct(month, F.struct(
             "pagado", F.col("primera").cast("timestamp").alias("primera"))))).alias("pagos"),
         F.map_from_entries(F.collect_list(F.struct(month, _cents(F.col("pagado"))))).alias("pagosCentavos"),
     )
-    # The walk is bound by CPU, not bytes: spread the units over all shuffle
-    # partitions by the key of the join that follows, which then needs no other
-    # shuffle. A stated number also keeps small partitions from being merged.
-    tasks = int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Units without an account have keys of their own, so that they do not meet in one task.
+    own = F.coalesce(F.col("CVU_CBU"), F.concat(F.lit("unit "), F.col("id").cast("string")))
     rows = (
-        units.select(F.col("id").alias("idUnidadFuncional"), "consorcioId", "CVU_CBU",
+        units.select(F.col("id").alias("idUnidadFuncional"), "consorcioId", own.alias("_cuenta"),
                      F.col("porcentajeExpensas").alias("porcentaje"))
-        .repartition(tasks, "CVU_CBU")
-        .join(settled, "CVU_CBU", "left")
+        .join(settled, "_cuenta", "left")
     )
-    rows = _with_bills(rows, bills, tasks, few_bills)
+    rows = _with_bills(rows, bills)
     opening, paid_before = F.lit(0).cast("bigint"), F.lit(None).cast(MONEY)
     if previous is not None:
         rows = rows.join(previous.select(
@@ -406,9 +400,9 @@ def billing_batch(
     run would do. ``refreshed=False`` gives the lines as they stand right after
     billing. ``keep`` may store the headers (one row per building and month), for
     example ``session.cut_lineage``, so that the parts share them instead of
-    summing the costs once each, and so that they can be counted: a few are
-    broadcast to the units. Storing and counting run jobs. Write the parts with a keyed overwrite: the ids depend on building,
-    unit and month only, so a second run of the same months changes nothing.
+    summing the costs once each. Storing runs a job. Write the parts with a keyed
+    overwrite: the ids depend on building, unit and month only, so a second run of
+    the same months changes nothing.
     """
     start, end = (F.lit(str(d)).cast("date") for d in (first, last))
     paid = account_months(payments)
@@ -417,12 +411,10 @@ def billing_batch(
     headers = bill_headers(
         period_grid(buildings, start, end), opening, monthly_income(paid, units),
         monthly_costs(combine_costs(ordinary, extraordinary)))
-    few_bills = False
     if keep is not None:
         headers = keep(headers)
-        few_bills = headers.limit(BROADCAST_HEADERS + 1).count() <= BROADCAST_HEADERS
     bills = conform(headers, "Expensa")
-    lines = _as_lines(carried_lines(headers, units, paid, previous, few_bills), refreshed)
+    lines = _as_lines(carried_lines(headers, units, paid, previous), refreshed)
     return BillingRun(
         bills=bills,
         lines=lines,

@@ -34,14 +34,14 @@ FACT_DAY = {
 }
 
 
-def _read(spark: SparkSession, root: str | None, table: str) -> DataFrame:
-    """A table, empty if it was never written."""
+def _read(spark: SparkSession, root: str | None, table: str, required: bool = False) -> DataFrame:
+    """A table, empty if it was never written; a ``required`` one that is absent is an error."""
     if root is None:
         return schemas.empty(spark, table)
     try:
         return spark.read.schema(schemas.TABLES[table].schema).parquet(f"{root}/{table}")
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() == "PATH_NOT_FOUND" and not required:
             return schemas.empty(spark, table)
         raise
 
@@ -61,7 +61,7 @@ class _Masters:
         self.spark, self.old, self.new = spark, old, new
 
     def before(self, table: str) -> DataFrame:
-        return _read(self.spark, self.old, table)
+        return _read(self.spark, self.old, table, required=True)
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         sinks.replace_table(schemas.conform(df, table), f"{self.new}/{table}")
@@ -142,7 +142,7 @@ def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt
     month's lines and applications are replaced. Without one, the accounts open. The account
     table with the closing balances goes to the new folder ``accounts``.
     """
-    buildings, units, opening = (_read(spark, masters, t) for t in ("Consorcio", "UnidadFuncional", "CuentaBancaria"))
+    buildings, units, opening = (_read(spark, masters, t, required=True) for t in ("Consorcio", "UnidadFuncional", "CuentaBancaria"))
     start, end = F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")
 
     def days(name, low, high):

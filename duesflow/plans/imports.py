@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duesflow.functions import amounts, dates, picks, text
 from duesflow.operators import upsert
-from duesflow.operators.numbering import number_rows, prefix_buckets
+from duesflow.operators.numbering import id_bucket, number_rows, prefix_buckets
 from duesflow.schemas import COST_CATEGORIES, conform
 
 # Roles by the tenant flag of the people file.
@@ -73,17 +73,25 @@ def parse_costs(raw: DataFrame, as_of=None, style: str = "reference") -> DataFra
     return parsed.select("nombreConsorcio", "mes", F.inline(pairs)).where(F.col("importe") > 0)
 
 
-def invoice_number(building: Column, period: Column, counter: Column) -> Column:
-    """Ten digits: building (3), year and month (4), counter (3), each cut to its last digits."""
-    return F.concat(
-        text.zero_padded(building, 3),
-        F.date_format(period, "yyMM"),
-        text.zero_padded(counter % 1000, 3),
-    )
+def invoice_number(building: Column, period: Column, counter: Column, style: str = "running") -> Column:
+    """Ten digits. ``running`` is the counter itself; ``reference`` is building (3), year and
+    month (4) and counter (3). A part that does not fit raises, so that no number repeats."""
+    if style not in ("running", "reference"):
+        raise ValueError(f"style must be running or reference, not {style}")
+
+    def digits(value: Column, width: int) -> Column:
+        fits = (value >= 0) & (value < 10**width)
+        too_long = F.raise_error(F.concat(value.cast("string"), F.lit(f" has more than {width} digits")))
+        return F.when(value.isNull() | fits, text.zero_padded(value, width)).otherwise(too_long.cast("string"))
+
+    if style == "running":
+        return digits(counter, 10)
+    return F.concat(digits(building, 3), F.date_format(period, "yyMM"), digits(counter, 3))
 
 
 def import_costs(raw: DataFrame, buildings: DataFrame, ordinary: DataFrame, year: int,
-                 last_number: int = 0, as_of=None, style: str = "reference") -> DataFrame:
+                 last_number: int = 0, as_of=None, style: str = "reference",
+                 invoices: str = "running") -> DataFrame:
     """New GastoOrdinario rows, numbered after ``last_number`` by building,
     month and category. Costs of a building, month and category that the ledger
     already has are not added again."""
@@ -100,11 +108,11 @@ def import_costs(raw: DataFrame, buildings: DataFrame, ordinary: DataFrame, year
     fresh = upsert.absent(costs.select("*", prefix), ordinary.select("*", prefix), keys).drop("_tipo")
     numbered = number_rows(
         fresh, "idGasto", ["consorcioId", "fechaEmision", "tipoServicio", "importeTotal"],
-        [F.col("consorcioId"), F.struct("fechaEmision", "tipoServicio", F.floor(F.col("importeTotal") / 100))])
+        [id_bucket(F.col("consorcioId"), 4096), F.col("consorcioId"), F.struct("fechaEmision", "tipoServicio", F.floor(F.col("importeTotal") / 100))])
     counter = F.col("idGasto") + F.lit(last_number)
     return conform(numbered.withColumns({
         "idGasto": counter,
-        "nroFactura": invoice_number(F.col("consorcioId"), F.col("fechaEmision"), counter),
+        "nroFactura": invoice_number(F.col("consorcioId"), F.col("fechaEmision"), counter, invoices),
     }), "GastoOrdinario")
 
 
@@ -122,10 +130,10 @@ def import_people(raw: DataFrame, people: DataFrame, last_id: int = 0) -> DataFr
     )
     fresh = upsert.absent(cleaned, people, ["dni", "CVU_CBU"])
     # Rows without an account are cut by dni instead: there may be many of them.
-    padded = F.lpad("dni", 8, "0")
+    number = F.col("dni").cast("bigint")
     numbered = number_rows(
-        fresh, "idPersona", ["CVU_CBU", padded, "apellido", "nombre"],
-        [*prefix_buckets(F.col("CVU_CBU")), F.when(F.col("CVU_CBU").isNull(), F.substring(padded, 1, 4))])
+        fresh, "idPersona", ["CVU_CBU", number, "apellido", "nombre"],
+        [*prefix_buckets(F.col("CVU_CBU")), F.when(F.col("CVU_CBU").isNull(), F.floor(number / 10000))])
     return conform(numbered.withColumn("idPersona", F.col("idPersona") + last_id), "Persona")
 
 
@@ -157,7 +165,9 @@ def import_unit_owners(raw: DataFrame, buildings: DataFrame, units: DataFrame, l
     names = buildings.select(F.col("id").alias("consorcioId"), F.trim("nombre").alias("nombreConsorcio"))
     fresh = upsert.absent(rows, units, ["CVU_CBU"]).join(names, "nombreConsorcio", "left")
     order = ["consorcioId", "numero", "CVU_CBU"]
-    numbered = number_rows(fresh, "id", order, [F.col("consorcioId"), F.floor(F.col("numero") / 1024)])
+    # Rows of unknown buildings may be many: they are cut further, by number and account.
+    unknown = [F.when(F.col("consorcioId").isNull(), c) for c in (F.col("numero"), *prefix_buckets(F.col("CVU_CBU")))]
+    numbered = number_rows(fresh, "id", order, [F.col("consorcioId"), F.floor(F.col("numero") / 1024), *unknown])
     return conform(numbered.withColumn("id", F.col("id") + last_id), "UnidadFuncional")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from duesflow.operators.upsert import absent, keep_one
+
 BATCH = "lote"
 
 
@@ -27,17 +29,15 @@ def _add_batch(batch: DataFrame, batch_id: int, target: str, keys: Sequence[str]
     """Append the keys the table does not have yet, as partition ``lote=batch_id``.
 
     A batch that is run again after a failure replaces its own partition and is
-    compared with earlier batches only, so it ends with the same rows. The table
-    is read for the dates that occur in the batch, not as a whole.
+    compared with earlier batches only, so it ends with the same rows. Only the
+    keys of the table are read. Of rows of one key in a batch the first by ``day``
+    stays, then by the other columns.
     """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates(list(keys))
+    fresh = keep_one(batch, keys, [day, *[c for c in batch.columns if c not in (day, *keys)]])
     known = _existing(spark, target, batch.schema)
     if known is not None:
-        low, high = batch.agg(F.min(day), F.max(day)).first()
-        if low is not None:
-            earlier = known.where((F.col(BATCH) < batch_id) & F.col(day).between(F.lit(low), F.lit(high)))
-            fresh = fresh.join(earlier.select(*keys), list(keys), "left_anti")
+        fresh = absent(fresh, known.where(F.col(BATCH) < batch_id), keys)
     fresh.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
 
 
@@ -55,8 +55,8 @@ def ingest_drops(
 ) -> StreamingQuery:
     """Take in all files of ``source`` that were not taken in before, then stop.
 
-    ``clean`` turns raw rows into typed ones; ``keys`` identify a row and
-    include or determine the date column ``day``. ``target`` and ``checkpoint``
+    ``clean`` turns raw rows into typed ones; ``keys`` identify a row, whatever its
+    date column ``day`` says. ``target`` and ``checkpoint``
     must be shared folders. Returns the started query.
     """
     raw = spark.readStream.format(file_format).schema(schema).options(**(options or {})).load(source)

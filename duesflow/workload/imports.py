@@ -96,8 +96,7 @@ fresh AS (
   SELECT n_nationkey AS b, m, kind, amount FROM parsed JOIN nation ON nation.n_name = parsed.n_name WHERE amount > 0),
 numbered AS (SELECT *, row_number() OVER (ORDER BY b, m, kind, amount) + 7 AS k FROM fresh)
 SELECT k AS "idGasto", b AS "consorcioId",
-       lpad(CAST(b AS VARCHAR), 3, '0') || '25' || lpad(CAST(m AS VARCHAR), 2, '0') || lpad(CAST(k % 1000 AS VARCHAR), 3, '0')
-         AS "nroFactura",
+       lpad(CAST(k AS VARCHAR), 10, '0') AS "nroFactura",
        make_date(2025, CAST(m AS INT), 1) AS "fechaEmision", amount AS "importeTotal", kind AS "tipoServicio"
 FROM numbered""")
 def cost_import(t: Ledger):
@@ -108,8 +107,7 @@ def cost_import(t: Ledger):
 
 @query("invoice_number", "id int, numero int, nroFactura text", f"""WITH {sql.PAID},
 numbered AS (SELECT *, row_number() OVER (ORDER BY d, id) AS k FROM paid)
-SELECT id, k AS numero, lpad(CAST(b AS VARCHAR), 3, '0') || strftime(d, '%y%m') || lpad(CAST(k % 1000 AS VARCHAR), 3, '0')
-  AS "nroFactura" FROM numbered""")
+SELECT id, k AS numero, lpad(CAST(k AS VARCHAR), 10, '0') AS "nroFactura" FROM numbered""")
 def invoice_number(t: Ledger):
     from duesflow.operators.numbering import id_bucket, number_rows
 
@@ -232,7 +230,8 @@ def first_method(t: Ledger):
 SELECT o_orderkey AS id, {sql.account('o_custkey')} AS "cbuCuentaOrigen", CAST(o_orderdate AS DATE) AS fecha,
        {sql.money('o_totalprice')} AS importe FROM orders""")
 def incremental_ingest(t: Ledger):
-    """All payments arrive in two overlapping file drops; each is kept once.
+    """All payments arrive in two overlapping file drops; each is kept once, as it came first,
+    though the second drop gives those sent again another date or none.
 
     Runs the two writes and the two streams when called.
     """
@@ -243,8 +242,10 @@ def incremental_ingest(t: Ledger):
         account(F.col("o_custkey")).alias("CVU_CBU"),
         F.concat(F.lit("$"), money(F.col("o_totalprice")).cast("string")).alias("valor"), "o_orderdate")
     drops = (F.col("o_orderdate") < "1999-01-01", F.col("o_orderdate") >= "1997-01-01")
-    for drop in drops:
-        rows.where(drop).drop("o_orderdate").write.mode("append").option("header", True).csv(f"{home}/in")
+    again = F.when(F.col("idPago").cast("bigint") % 2 == 0, dates.text_dmy(F.date_add("o_orderdate", 40)))
+    moved = rows.withColumn("fecha", F.when(drops[0], again).otherwise(F.col("fecha")))
+    for sent, drop in zip((rows, moved), drops, strict=True):
+        sent.where(drop).drop("o_orderdate").write.mode("append").option("header", True).csv(f"{home}/in")
         stream = ingest_drops(
             t.spark, f"{home}/in", f"{home}/out", f"{home}/state", schema, ["id"], "fecha",
             options={"header": "true"}, clean=lambda raw: imports.clean_payments(raw, 1))

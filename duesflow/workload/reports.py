@@ -9,7 +9,7 @@ from duesflow.session import cut_lineage
 from duesflow.workload import sql
 from duesflow.workload.registry import query
 from duesflow.workload.sql import half_up
-from duesflow.workload.tables import FIRST_MONTH, LAST_MONTH, Ledger
+from duesflow.workload.tables import Ledger
 
 N2 = "format('{{:,.2f}}', CAST({0} AS DOUBLE))"
 
@@ -209,7 +209,7 @@ def run_batch(t: Ledger, **options) -> billing.BillingRun:
     """The whole batch; the headers are stored when this is called."""
     return billing.billing_batch(
         t.buildings, t.accounts, t.shared_units, t.payments, t.ordinary(billed=False),
-        t.extraordinary(billed=False), FIRST_MONTH, LAST_MONTH, keep=cut_lineage, **options)
+        t.extraordinary(billed=False), *t.months, keep=cut_lineage, **options)
 
 
 DOCUMENT_COLUMNS = (

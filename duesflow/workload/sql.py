@@ -70,7 +70,9 @@ shared AS (
 
 GRID = """grid AS (
   SELECT n_nationkey AS b, CAST(p AS DATE) AS p FROM nation,
-         (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS p))"""
+         (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS p FROM (
+            SELECT date_trunc('month', least((SELECT min(o_orderdate) FROM orders), (SELECT min(l_shipdate) FROM lineitem))) AS lo,
+                   date_trunc('month', greatest((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem))) AS hi)))"""
 
 HEADERS = f"""{COST}, {PAID}, {GRID},
 spent AS (
@@ -106,7 +108,7 @@ carried(u, b, p, so, se, debt, total, got, first_paid, got_before) AS (
          CAST(0 AS BIGINT), CAST({signed_half_up(_EXACT.format(debt='0'), 10000)} AS BIGINT),
          coalesce(t.got, 0), t.first_paid, CAST(NULL AS BIGINT)
   FROM shared s JOIN headers h ON h.b = s.b LEFT JOIN settled t ON t.u = s.u AND t.p = h.p
-  WHERE h.p = DATE '1995-01-01'
+  WHERE h.p = (SELECT min(p) FROM grid)
   UNION ALL
   SELECT s.u, s.b, h.p, {half_up('h.o * coalesce(s.pct, 0)', '10000')}, {half_up('h.e * coalesce(s.pct, 0)', '10000')},
          c.total - c.got, CAST({signed_half_up(_EXACT.format(debt='(c.total - c.got)'), 10000)} AS BIGINT),

@@ -7,6 +7,7 @@ provider. Column names are those of ``duesflow.schemas``.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,6 @@ GIVEN = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 EXTRAORDINARY_FLAG = "R"
-FIRST_MONTH, LAST_MONTH = "1995-01-01", "2001-12-01"
 
 
 def account(owner: Column) -> Column:
@@ -58,6 +58,14 @@ class Ledger:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(GIVEN[name]).parquet(f"{self.root}/{name}.parquet")
 
+    @cached_property
+    def months(self) -> tuple[dt.date, dt.date]:
+        """First and last month with a payment or a cost. Runs two small jobs."""
+        spans = [self.table(name).agg(F.min(day), F.max(day)).first()
+                 for name, day in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+        days = [day.date().replace(day=1) for span in spans for day in span if day is not None]
+        return (min(days), max(days)) if days else (dt.date(1970, 1, 1), dt.date(1970, 1, 1))
+
     @cached_property
     def buildings(self) -> DataFrame:
         return self.table("nation").select(
@@ -158,8 +166,8 @@ class Ledger:
     @cached_property
     def bills(self) -> DataFrame:
         """Bill headers without amounts: one per building and month."""
-        months = F.sequence(F.lit(FIRST_MONTH).cast("date"), F.lit(LAST_MONTH).cast("date"),
-                            F.expr("interval 1 month"))
+        first, last = self.months
+        months = F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 month"))
         grid = self.buildings.select(F.col("id").alias("consorcioId"), F.explode(months).alias("periodo"))
         return grid.select(
             bill_id(F.col("consorcioId"), F.col("periodo")).alias("id"), "consorcioId",

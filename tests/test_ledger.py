@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duesflow import schemas
-from duesflow.plans import billing, fillers, imports, notices, protected, reports
+from duesflow.plans import billing, delivery, fillers, imports, notices, protected, reports
 from duesflow.operators.protect import protect_table
 from duesflow.session import cut_lineage
 from duesflow.sources import files, sinks
@@ -47,7 +47,7 @@ def ledger(spark, raw):
     buildings, units = imports.import_units(raw.units, buildings, owners, last_building=5)
     buildings, units = cut_lineage(buildings), cut_lineage(units)
     payments = cut_lineage(imports.import_payments(raw.payments, empty("Pago"), 1, AS_OF))
-    ordinary = imports.import_costs(raw.costs, buildings, empty("GastoOrdinario"), 2025, last_number=1, as_of=AS_OF)
+    ordinary = imports.import_costs(raw.costs, buildings, empty("GastoOrdinario"), 2025, last_number=1, as_of=AS_OF, invoices="reference")
     ordinary = imports.import_providers(raw.providers, buildings, cut_lineage(ordinary))
     ordinary = cut_lineage(fillers.fill_general_costs(ordinary))
     extraordinary = cut_lineage(fillers.generate_extraordinary(buildings, 20))
@@ -89,7 +89,7 @@ def test_repeated_import_adds_nothing(raw, ledger):
     assert imports.import_people(raw.people, ledger.people).where("CVU_CBU is not null").isEmpty()
     assert imports.import_unit_owners(raw.unit_owners, ledger.buildings, ledger.units).isEmpty()
     assert imports.import_buildings(raw.buildings, ledger.buildings).count() == 6
-    assert imports.import_costs(raw.costs, ledger.buildings, ledger.ordinary, 2025, as_of=AS_OF).isEmpty()
+    assert imports.import_costs(raw.costs, ledger.buildings, ledger.ordinary, 2025, as_of=AS_OF, invoices="reference").isEmpty()
 
 
 def test_cost_sums_and_invoices(ledger):
@@ -345,3 +345,22 @@ def test_notices(ledger):
     body = json.loads(sent[0].payload)
     assert body["personalizations"][0]["to"][0]["email"] == sent[0].email
     assert "10/05/2025" in body["content"][0]["value"] and body["from"]["name"] == "Office"
+
+
+def test_invoice_numbers_never_repeat_silently(spark):
+    rows = spark.createDataFrame([(7, "2025-03-01", 999), (7, "2025-03-01", 1000)], "b long, p string, k long").withColumn(
+        "p", F.col("p").cast("date"))
+
+    def numbers(df, style):
+        return [r[0] for r in df.select(imports.invoice_number(F.col("b"), F.col("p"), F.col("k"), style)).collect()]
+
+    assert numbers(rows, "running") == ["0000000999", "0000001000"]
+    assert numbers(rows.where("k < 1000"), "reference") == ["0072503999"]
+    with pytest.raises(Exception, match="more than 3 digits"):
+        numbers(rows, "reference")
+
+
+def test_masters_must_exist(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        delivery.bill(spark, str(tmp_path / "none"), str(tmp_path / "facts"), str(tmp_path / "out"),
+                      dt.date(2025, 4, 1), dt.date(2025, 4, 1))
