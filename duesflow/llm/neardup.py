@@ -21,6 +21,8 @@ BANDS, DEPTH = 10, 3
 RARE = 1e-3  # shingles in a smaller share of the documents all weigh 2
 TABLE = 1 << 16
 BUCKET_BITS = 22
+PAIRED = 16  # documents of a bucket that are paired one by one
+BLOCK, BLOCK_BYTES = 256, 4_000_000  # documents, and bytes of text, of a part of a larger one
 
 
 class Shingler:
@@ -316,65 +318,148 @@ def _compare(pairs: DataFrame, texts: DataFrame, shared, how: str | None) -> Dat
 def _links(texts: DataFrame, unique: DataFrame, shared, least: float) -> tuple[DataFrame, DataFrame]:
     """(links, roots): links (uid, centre, similarity) that connect alike documents, and their components.
 
-    Documents in a bucket meet its first document, the centre, and are compared where they
-    are not connected yet; first each document with the smallest of its centres only, for
-    most are settled by that. A bucket whose documents are not all connected then is cut by
-    the buckets of the later bands, and each part has a centre of its own, down to the last
-    band. So a bucket of many documents that are alike to few is cut finer and finer,
-    and no bucket's pairs are ever all formed. Pairs whose samples agree in less than half
-    of ``least`` are not compared; at a similarity of ``least`` that happens to fewer than one
-    in a million.
+    All documents that share a bucket are compared, unless links connect them already. Two
+    rounds connect most: each document is compared with the first of its buckets, then, in
+    buckets of more than ``PAIRED``, those not connected to it with the first of themselves.
+    What is still apart is paired: in small buckets pair by pair, in others block by block.
+    So the work grows with the square of a bucket only by what no link connects. Pairs whose
+    samples agree in less than half of ``least`` are not compared outside blocks; at a
+    similarity of ``least`` that happens to fewer than one in a million.
     """
     signed = stored_table(_signatures(texts, shared).join(unique.select("uid"), "uid", "left_semi"))
     marks = signed.select("uid", "marks")
-    spread = signed.select(F.col("uid").alias("owner"), F.posexplode("buckets").alias("band", "bucket"))
+    spread = signed.select("uid", F.posexplode("buckets").alias("band", "bucket"))
 
     def crowded(groups):
-        """Rows of the groups whose documents are not all connected, with the group's centre and its root."""
-        met = (groups.groupBy("key").agg(F.min("uid").alias("centre"), F.min_by("root", "uid").alias("centre_root"),
+        """Rows of the groups whose documents are not all connected, with the group's size, its centre and that one's root."""
+        met = (groups.groupBy("key").agg(F.min("uid").alias("centre"), F.min_by("root", "uid").alias("centre_root"), F.count(F.lit(1)).alias("n"),
                                          F.min("root").alias("low"), F.max("root").alias("high"))
                .where("low < high").drop("low", "high"))
         return stored_table(groups.join(met, "key"))
 
-    # ``old``: the centre of the bucket that a part was cut from, with which its documents were compared.
-    alive = crowded(spread.select(F.col("owner").alias("uid"), F.col("band").alias("last"), F.xxhash64("band", "bucket").alias("key"),
-                                  F.lit(None).cast("long").alias("old"), F.col("owner").alias("root")))
-    # From here on only documents that share a bucket with another matter. One plan at every size.
-    involved = stored_table(texts.join(alive.select("uid").distinct().hint("merge"), "uid", "left_semi"))
-    pairs = alive.where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("centre"))
-    passed, roots = [], None
-    while True:
+    def compared(pairs, how):
         theirs = marks.select(F.col("uid").alias("centre"), F.col("marks").alias("theirs"))
         same = F.aggregate(F.zip_with("marks", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
         likely = (pairs.join(marks, "uid").join(theirs, "centre").where(same >= int(least / 2 * BANDS * DEPTH))
                   .select("uid", "centre"))
         # Used three times in the comparison, and texts are moved by it.
-        likely = stored_table(likely)
-        fresh = stored_table(_compare(likely, involved, shared, "merge" if roots is None else None))
-        passed.append(fresh.where(F.col("similarity") >= least))
-        edges = passed[-1].select("uid", F.col("centre").alias("other"))
-        first = roots is None
-        roots = _contracted(edges if first else edges.unionByName(roots.select("uid", F.col("root").alias("other"))))
-        known = (alive.drop("root", "centre_root").join(roots, "uid", "left")
-                 .withColumn("root", F.coalesce("root", "uid")))
-        if first:
-            alive = crowded(known.drop("centre"))
-        else:
-            # A centre is in its own group, so a group is connected when all its roots are the same.
-            open_keys = (known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                         .where("low < high").select("key"))
-            deeper = known.join(open_keys, "key").select("uid", "last", "key", F.col("centre").alias("old"), "root")
-            alive = crowded(
-                deeper.join(spread, (F.col("uid") == F.col("owner")) & (F.col("band") > F.col("last")))
-                .select("uid", F.col("band").alias("last"), F.xxhash64("key", "band", "bucket").alias("key"), "old", "root"))
-            if alive.isEmpty():
-                links = passed[0]
-                for more in passed[1:]:
-                    links = links.unionByName(more)
-                links = links.dropDuplicates(["uid", "centre"])
-                return links, _components(links.select("uid", F.col("centre").alias("other")))
-        wanted = alive.where("root <> centre_root")
-        pairs = wanted.where(~F.col("centre").eqNullSafe(F.col("old"))).select("uid", "centre").distinct()
+        return stored_table(_compare(stored_table(likely), involved, shared, how))
+
+    def rooted(groups, roots):
+        return crowded(groups.select("key", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
+
+    alive = crowded(spread.select(F.xxhash64("band", "bucket").alias("key"), "uid", F.col("uid").alias("root")))
+    # From here on only documents that share a bucket with another matter. One plan at every size.
+    involved = stored_table(texts.join(alive.select("uid").distinct().hint("merge"), "uid", "left_semi"))
+    measured = compared(alive.where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("centre")), "merge")
+    edges = measured.where(F.col("similarity") >= least).select("uid", F.col("centre").alias("other"))
+    roots = _contracted(edges)
+    alive = rooted(alive, roots)
+    apart = alive.where((F.col("n") > PAIRED) & (F.col("root") != F.col("centre_root"))).select("key", "uid")
+    first = apart.groupBy("key").agg(F.min("uid").alias("centre"))
+    again = compared(apart.join(first, "key").where("uid <> centre").groupBy("uid").agg(F.min("centre").alias("centre")), None)
+    measured = measured.unionByName(again)
+    edges = again.where(F.col("similarity") >= least).select("uid", F.col("centre").alias("other"))
+    roots = _contracted(edges.unionByName(roots.select("uid", F.col("root").alias("other"))))
+    alive = rooted(alive, roots)
+
+    few = alive.where(F.col("n") <= PAIRED).select("key", "uid", "root")
+    other = few.select("key", F.col("uid").alias("centre"), F.col("root").alias("theirs"))
+    pairs = (few.join(other, (few.key == other.key) & (F.col("uid") > F.col("centre")) & (F.col("root") != F.col("theirs")))
+             .select("uid", "centre").distinct().join(measured.select("uid", "centre"), ["uid", "centre"], "left_anti"))
+    measured = measured.unionByName(compared(pairs, None))
+    blocks = stored_table(_in_blocks(alive.where(F.col("n") > PAIRED).select("key", "uid", "root"), involved, shared, least))
+    links = measured.where(F.col("similarity") >= least).unionByName(blocks).dropDuplicates(["uid", "centre"])
+    return links, _components(links.select("uid", F.col("centre").alias("other")))
+
+
+def _in_blocks(rows: DataFrame, texts: DataFrame, shared, least: float) -> DataFrame:
+    """Links (uid, centre, similarity) between different roots of each group of ``rows`` (key, uid, root).
+
+    The largest root of a group and all its others are dealt to parts; each part of others
+    meets every part in a block of its own, and a block compares all pairs exactly. A block
+    gives only links that join what its links and roots do not join yet, so that their number
+    grows with its documents.
+    """
+    held = stored_table(rows.join(texts, "uid").withColumn("length", F.octet_length("text")))
+    # A root that holds most of a group's rows is not compared with itself.
+    tallies = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("bytes"))
+    needed = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    mains = (tallies.groupBy("key").agg(F.max(F.struct("rows", "root", "bytes")).alias("main"),
+                                        F.sum("rows").alias("all_rows"), F.sum("bytes").alias("all_bytes"))
+             .select("key", F.col("main.root").alias("main"), F.col("main.rows").alias("rows"), F.col("main.bytes").alias("bytes"), "all_rows", "all_bytes")
+             .withColumn("of_main", needed)
+             .withColumn("rows", F.col("all_rows") - F.col("rows")).withColumn("bytes", F.col("all_bytes") - F.col("bytes"))
+             .withColumn("of_others", needed).select("key", "main", "of_main", "of_others"))
+    is_main = F.col("root") == F.col("main")
+    part = lambda parts: F.pmod(F.xxhash64("uid", "key"), F.col(parts)).cast("int")
+    dealt = (held.join(mains, "key")
+             .withColumn("part", F.when(is_main, F.col("of_others") + part("of_main")).otherwise(part("of_others")))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("of_others") - 1)
+                                                      .otherwise(F.col("of_others") + F.col("of_main") - 1))))
+             .select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "uid", "root", "text"))
+
+    def solve(table):
+        import pyarrow as pa
+
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        at, uids, roots = (table.column(c).to_numpy() for c in ("part", "uid", "root"))
+        hashes, counts, starts = Shingler()([t.as_py() for t in table.column("text")])
+        idfs, ends = Frequent(*shared.value)(hashes), np.append(starts[1:], len(hashes))
+        left, right = np.flatnonzero(at == low), np.flatnonzero(at == high)
+        i, j = _alike(hashes, counts, idfs, starts, left, right, least - 1e-3)
+        apart = (roots[left[i]] != roots[right[j]]) & ((low != high) | (i < j))
+        joined: dict[int, int] = {}
+
+        def find(root):
+            while root in joined:
+                root = joined[root]
+            return root
+
+        out = []
+        for a, b in zip(left[i[apart]].tolist(), right[j[apart]].tolist(), strict=True):
+            one, two = find(int(roots[a])), find(int(roots[b]))
+            if one == two:
+                continue
+            bags = [(hashes[starts[x]:ends[x]], idfs[starts[x]:ends[x]] * counts[starts[x]:ends[x]]) for x in (a, b)]
+            similarity = weighted_jaccard(*bags[0], *bags[1])
+            if similarity >= least:
+                joined[max(one, two)] = min(one, two)
+                out.append((int(max(uids[a], uids[b])), int(min(uids[a], uids[b])), similarity))
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table({"uid": pa.array(columns[0], pa.int64()), "centre": pa.array(columns[1], pa.int64()),
+                         "similarity": pa.array(columns[2], pa.float64())})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(solve, "uid long, centre long, similarity double")
+
+
+def _alike(hashes, counts, idfs, starts, left, right, least: float, width: int = 2048):
+    """Places (i, j) in ``left`` and ``right`` of all pairs of bags whose similarity is at least ``least``, to single precision.
+
+    The n-th time of a shingle is an item of its own, so that the sum of minima is the sum of
+    the weights of common items, a product of matrices.
+    """
+    bag = np.repeat(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes)))), counts)
+    before = np.cumsum(counts) - counts
+    turn = (np.arange(len(bag)) - np.repeat(before, counts)).astype(np.uint64)
+    weights = np.repeat(idfs, counts).astype(np.float32)
+    totals = np.bincount(bag, weights, len(starts)).astype(np.float32)
+    names = np.where(turn > 0, mix(np.repeat(hashes, counts) + turn * np.uint64(0x9E3779B97F4A7C15)), np.repeat(hashes, counts))
+    _, item, held = np.unique(names, return_inverse=True, return_counts=True)
+    # Only items of two bags or more can be common.
+    number = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[item]
+    order = np.argsort(number, kind="stable")
+    order = order[np.searchsorted(number[order], 0):]
+    number, bag, weights = number[order], bag[order], weights[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        some = slice(*np.searchsorted(number, [first, first + width]))
+        has = np.zeros((len(starts), width), np.float32)
+        has[bag[some], number[some] - first] = 1
+        weight = np.zeros(width, np.float32)
+        weight[number[some] - first] = weights[some]
+        common += (has[left] * weight) @ has[right].T
+    return np.nonzero(common >= least * (totals[left][:, None] + totals[right] - common))
 
 
 def _contracted(links: DataFrame) -> DataFrame:

@@ -332,6 +332,46 @@ def test_near_groups_against_all_pairs(spark, empty):
     assert neardup.near_groups(empty).count() == 0
 
 
+def test_near_pairs_inside_a_crowd_of_unlike_documents(spark):
+    passage, rows = prose(254, 31), []
+    for i in range(2500):
+        own = prose(28, 20_000 + i).split()
+        rows.append((2 * i, passage + " " + " ".join(own)))
+        if i % 50 == 7:
+            rows.append((2 * i + 1, passage + " " + " ".join(own[:20] + prose(8, 60_000 + i).split())))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_groups(table).collect()}
+    pairs = {d - 1 for d, _ in rows if d % 2}
+    assert got == {d: (d - d % 2, 2 if d - d % 2 in pairs else 1) for d, _ in rows}
+
+
+@pytest.mark.parametrize("unlike", [1, 40])
+def test_near_pair_that_meets_in_the_last_band_only(spark, monkeypatch, unlike):
+    def sign(texts, _):
+        alone = [F.col("uid") * 10 + band for band in range(neardup.BANDS - 1)]
+        return texts.select("uid", F.array(*alone, F.lit(-1).cast("long")).alias("buckets"),
+                            F.array_repeat(F.lit(1), neardup.BANDS * neardup.DEPTH).alias("marks"))
+
+    monkeypatch.setattr(neardup, "_signatures", sign)
+    pair = prose(100, 8)
+    rows = [(i, prose(100, 9000 + i)) for i in range(unlike)] + [(unlike, pair), (unlike + 1, pair + " end")]
+    got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("class_size > 1").collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == [(unlike, unlike, 2), (unlike + 1, unlike, 2)]
+
+
+def test_blocks_equal_all_pairs():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    hashes, counts, starts = neardup.Shingler()(texts)
+    ends = np.append(starts[1:], len(hashes))
+    weigh = neardup.Frequent(hashes[:5], np.array([1.0, 1.2, 1.4, 1.6, 1.8]))
+    bags = [(hashes[a:b], weigh(hashes[a:b]) * counts[a:b]) for a, b in zip(starts, ends, strict=True)]
+    left, right = np.arange(20), np.arange(20, 60)
+    i, j = neardup._alike(hashes, counts, weigh(hashes), starts, left, right, 0.3001, width=7)
+    want = {(a, b) for a in range(20) for b in range(40) if neardup.weighted_jaccard(*bags[a], *bags[20 + b]) >= 0.3001}
+    assert want and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 # --- licences
 
 
