@@ -32,8 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path(), keep_ids=False).drop("ids")
+    """Pieces of documents, with their token ids, placed in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [("toxic", toxic), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixed", mixed), ("packed", packed)]

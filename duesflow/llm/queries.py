@@ -49,8 +49,9 @@ def op3_source_mix(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op4_open_window_packing(spark: SparkSession, root: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, root, "documents"), tokenizer_path(), keep_ids=False)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack_documents(table(spark, root, "documents"), tokenizer_path())
+    return packed.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).alias("length"), F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
 
 
 def op5_warc_members(spark: SparkSession, root: str) -> DataFrame:

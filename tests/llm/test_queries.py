@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,3 +46,15 @@ def test_pipeline_stages_each_take_effect(spark):
     assert last.where("start = 0").count() == docs.count()
     fills = [r.n for r in last.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
     assert max(fills) <= 4096 and np.sum(4096 - np.array(fills)) <= 4096 + 32 * len(fills)
+
+
+def test_packed_sequences_keep_their_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a few words"), (2, None), (1, "other words " * 5000)], "doc_id long, text string")
+    rows = corpus_pipeline.packed(spark, docs, ROOT).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    frames, pack = [], llm.packing.pack_documents
+    monkeypatch.setattr(llm.packing, "pack_documents", lambda *args, **named: frames.append(pack(*args, **named)) or frames[-1])
+    got = llm.op4_open_window_packing(spark, ROOT)
+    want = frames[0].select(got.columns)
+    assert frames[0].where("ids IS NULL OR octet_length(ids) <> 4 * length").isEmpty()
+    assert dict(got.dtypes) == dict(want.dtypes) and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
