@@ -17,11 +17,21 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Standard notices by which files name their licence.
+GNU = ("this {} is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the "
+       "free software foundation either version {} of the license or at your option any later version")
+BSD_OPENING = ("redistribution and use in source and binary forms with or without modification are permitted provided that "
+               "the following conditions are met")
+# Standard notices by which files name their licence, and whole paragraphs of the short licences. The whole
+# texts of the long licences (Apache, GNU, Mozilla, Creative Commons) are not among them.
 TEMPLATES = {
     "mit": ["released under the mit license", "licensed under the mit license",
             "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files the software to deal in the software without restriction"],
+            "documentation files the software to deal in the software without restriction",
+            "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+            "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+            "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+            "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or "
+            "otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
     "apache-2": ["licensed under the apache license version 2 0",
                  "you may not use this file except in compliance with the license you may obtain a copy of the license at",
                  "unless required by applicable law or agreed to in writing software distributed under the license is "
@@ -30,12 +40,23 @@ TEMPLATES = {
                  "4 0 international license"],
     "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "gpl-3": ["this work is licensed under the gnu general public license version 3",
-              "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-              "public license as published by the free software foundation either version 3 of the license or at your "
-              "option any later version"],
-    "bsd-3": ["redistribution and use in source and binary forms with or without modification are permitted provided that "
-              "the following conditions are met",
-              "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              GNU.format("program", "general public license", "3")],
+    "gpl-2": [GNU.format("program", "general public license", "2")],
+    "lgpl-2.1": [GNU.format("library", "lesser general public license", "2 1")],
+    "lgpl-3": [GNU.format("library", "lesser general public license", "3"), GNU.format("program", "lesser general public license", "3")],
+    "agpl-3": [GNU.format("program", "affero general public license", "3")],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0",
+              "if a copy of the mpl was not distributed with this file you can obtain one at"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+            "provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense": ["this is free and unencumbered software released into the public domain",
+                  "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or "
+                  "as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "bsd-2": [BSD_OPENING,
+              "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+              "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+              "disclaimer in the documentation and or other materials provided with the distribution"],
+    "bsd-3": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
               "products derived from this software without specific prior written permission"],
 }
 FOUND = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -158,6 +179,24 @@ class LicenceScanner:
             if chain and (found := span()):
                 yield found
 
+    def _settled(self, spans):
+        """Spans without those of another label that lie mostly in one of more words; what BSD licences share goes by the third clause."""
+        import bisect
+
+        known = [(s, s[4] * len(self.templates[s[1]][1])) for s in spans]
+        firsts, longest = [s[2] for s in spans], max((s[3] - s[2] for s in spans), default=0)
+
+        def beaten(s, n):
+            near = known[bisect.bisect_left(firsts, s[2] - longest):bisect.bisect_right(firsts, s[3])]
+            return any(t[0] != s[0] and m > n and 2 * (min(s[3], t[3]) - max(s[2], t[2]) + 1) > s[3] - s[2] + 1 for t, m in near)
+
+        kept, part, parts = [s for s, n in known if not beaten(s, n)], 0, []
+        for s in kept:
+            part += s[0] == "bsd-2" and self.templates[s[1]][1] == BSD_OPENING.encode().split()
+            parts.append(part)
+        third = {p for p, s in zip(parts, kept, strict=True) if s[0] == "bsd-3"}
+        return [("bsd-3", *s[1:]) if s[0] == "bsd-2" and p in third else s for p, s in zip(parts, kept, strict=True)]
+
     def scan(self, text: str) -> tuple:
         import numpy as np
 
@@ -179,7 +218,7 @@ class LicenceScanner:
         edges = np.flatnonzero(np.diff(paired)).reshape(-1, 2)
         for first, end in edges[edges[:, 1] - edges[:, 0] >= self.least_run - 1].tolist():
             runs += self._runs(first, codes[first:end + 1].tolist())
-        spans = sorted(self._chains(runs), key=lambda s: (s[2], s[3], s[0], s[1]))
+        spans = self._settled(sorted(self._chains(runs), key=lambda s: (s[2], s[3], s[0], s[1])))
         labels = base | {s[0] for s in spans}
         score = max([1.0 if base else 0.0, *(s[4] for s in spans)])
         return (len(words), len(places), min(places, default=None), max(places, default=None),
@@ -193,7 +232,8 @@ def scan_licences(docs: DataFrame, *, templates: dict[str, list[str]] = TEMPLATE
 
     A phrase counts wherever its words stand in a row, overlaps included. A span is a chain of
     runs of at least ``least_run`` words with at most ``gap`` other words between them that
-    covers ``least_cover`` of a template. ``score`` is 1 with a phrase, else the best cover.
+    covers ``least_cover`` of a template; of spans of two labels at one place the one of more words
+    stays. The BSD licences are told apart by the third clause. ``score`` is 1 with a phrase, else the best cover.
     NULL and empty texts have no words and no labels (empty strings); a NULL doc_id stays;
     repeated rows are scanned each; an empty table gives no rows. Whole texts are read.
     """

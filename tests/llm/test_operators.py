@@ -392,6 +392,16 @@ def test_licence_scan(spark, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_licences_are_told_apart():
+    scan = licences.LicenceScanner(licences.TEMPLATES, licences.PHRASES, 4, 0.7, 4).scan
+    bsd, third = " 1. x y z ".join(licences.TEMPLATES["bsd-2"]), licences.TEMPLATES["bsd-3"][0]
+    assert scan(bsd)[5] == "bsd-2" and scan(bsd + ". 3. " + third)[5] == "bsd-3" and scan(f"{bsd} 3 {third} or {bsd}")[5] == "bsd-2,bsd-3"
+    for label, texts in licences.TEMPLATES.items():
+        for text in texts:
+            assert label in scan(text)[5].split(",") and (label[:3] in ("mit", "apa", "cc-") or scan(text)[5] == label)
+    assert scan(licences.TEMPLATES["mit"][-1].upper())[5] == "mit"
+
+
 def test_automaton_gives_longest_runs():
     rng = random.Random(5)
     sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(5)]
