@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from duesflow.llm.util import stored_table
 
-BLOCK = 2048
+BLOCK = 4096  # below 2^16, so that places fit into 16 bits
 
 
 def _lines(dim: int, projections: int, seed: int) -> np.ndarray:
@@ -31,30 +31,26 @@ def _lines(dim: int, projections: int, seed: int) -> np.ndarray:
 
 
 class Block:
-    """The vectors of a block, with one sorted array per line."""
+    """The vectors of a block, with one sorted array per line and each vector's place in it."""
 
     def __init__(self, x: np.ndarray, extra: np.ndarray, lines: np.ndarray):
-        self.x = x
-        places = (np.concatenate([x, extra[:, None]], axis=1) @ lines).T
-        self.order = np.argsort(places, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(places, self.order, axis=1)
-        self.lines = lines
+        self.x, self.lines = x, lines
+        values = (np.concatenate([x, extra[:, None]], axis=1) @ lines).T
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=1)
+        self.places = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.places, order, np.arange(len(x), dtype=np.uint16)[None, :], axis=1)
 
     def windows(self, centres: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past last place, per line and query, of the windows of ``half`` around ``centres``."""
-        low = [row.searchsorted(c - half, "left") for row, c in zip(self.sorted, centres, strict=True)]
-        high = [row.searchsorted(c + half, "right") for row, c in zip(self.sorted, centres, strict=True)]
-        return np.array(low), np.array(high)
-
-    def counts(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """In how many of one query's windows each vector lies."""
-        n, low, high = len(self.x), low.tolist(), high.tolist()
-        if 2 * (sum(high) - sum(low)) <= n * len(low):
-            parts = [row[a:b] for row, a, b in zip(self.order, low, high, strict=True)]
-            return np.bincount(np.concatenate(parts), minlength=n)
-        # Most vectors are inside: counting those outside is less work.
-        parts = [part for row, a, b in zip(self.order, low, high, strict=True) for part in (row[:a], row[b:])]
-        return len(low) - np.bincount(np.concatenate(parts), minlength=n)
+        """First place and number of places, per line and query, of the windows of ``half`` around ``centres``."""
+        low = np.array([row.searchsorted(c - half, "left") for row, c in zip(self.sorted, centres, strict=True)])
+        high = np.array([row.searchsorted(c + half, "right") for row, c in zip(self.sorted, centres, strict=True)])
+        return low.astype(np.uint16), (high - low).astype(np.uint16)
+
+    def counts(self, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """In how many of one query's windows each vector lies: places before a window wrap round to large numbers."""
+        inside = (self.places - low[:, None]) < size[:, None]
+        return inside.view(np.uint8).sum(axis=0, dtype=np.uint8 if len(low) < 256 else np.uint32)
 
     def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Inner products summed from the first component to the last, so that equal vectors score alike."""
@@ -68,15 +64,15 @@ def threshold(projections: int, width: float, miss: float) -> int:
 
 
 def nearest_by_collisions(vectors: DataFrame, *, k: int = 20, every: int = 20, id_column: str = "vec_id",
-                          vector_column: str = "embedding", projections: int = 160, width: float = 2.4, miss: float = 0.02,
-                          growth: float = 1.15, seed: int = 12, queries_at_once: int = 512) -> DataFrame:
+                          vector_column: str = "embedding", projections: int = 128, width: float = 2.4, miss: float = 0.02,
+                          growth: float = 1.1, seed: int = 12, queries_at_once: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the ``k`` largest inner products found, nearest first.
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows of the same
     length but those with the query's id; every row is indexed. Two searches: in the first,
     each block widens a query's windows by ``growth`` until its share of 2k candidates passes the
     threshold; the k-th best score of all blocks bounds the distance to the k-th neighbour.
-    The second counts once at that radius and verifies all that pass. So a true neighbour is
+    The second counts once at that radius, verifies all that pass and keeps those that reach the bound. So a true neighbour is
     missed with a chance of about ``miss`` at most. Ties go to smaller ids.
 
     Vectors that are NULL, zero, of no length, or hold NULL or non-finite components, and rows
@@ -145,14 +141,19 @@ def _solve(rows: DataFrame, dim: int, longest: float, n: int, k: int, every: int
                .select("id", "norm", "x"))
 
     def meet(queries: DataFrame) -> DataFrame:
-        """Every block with every pack of queries: packs are copied to ``deals`` keys, each block has one of them."""
-        deals = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        """Every block with every pack of queries once: both are dealt to the rows and columns of a grid of tasks."""
+        side = math.ceil(math.sqrt(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
         parts = max(1, math.ceil(n / every / at_once))
         packs = (queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_pack"))
-                 .agg(F.collect_list(F.struct("id", "norm", "x", "radius")).alias("queries")).select("queries"))
-        dealt = packs.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-        return blocks.withColumn("deal", F.pmod(F.xxhash64("block"), F.lit(deals)).cast("int")).join(dealt, "deal").select(
-            "size", "ids", "norms", "x", "queries")
+                 .agg(F.collect_list(F.struct("id", "norm", "x", "radius", "least")).alias("queries")))
+
+        def dealt(df, row, column):
+            return df.withColumn("deal", row * side + column).repartition(side * side, "deal")
+
+        every_place = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+        left = dealt(blocks.withColumn("_column", every_place), F.pmod(F.col("block") % (1 << 32) + F.shiftright("block", 32), F.lit(side)), F.col("_column"))
+        right = dealt(packs.withColumn("_row", every_place), F.col("_row"), F.pmod(F.col("_pack"), F.lit(side)))
+        return left.drop("_column").join(right.drop("_row", "_pack"), "deal").select("block", "size", "ids", "norms", "x", "queries")
 
     share = math.ceil(2 * k * BLOCK / max(1, n))
 
@@ -167,9 +168,10 @@ def _solve(rows: DataFrame, dim: int, longest: float, n: int, k: int, every: int
                     ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"])
                     block = Block(np.frombuffer(row["x"]).reshape(row["size"], dim), np.sqrt(np.maximum(0.0, longest - norms)), lines)
                     out = answer(block, ids, row["queries"], found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))],
-                        names=["query_id", "vec_id", "score"])
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)),
+                                                      pa.array([row["block"]] * len(out), pa.int64())],
+                                                     names=["query_id", "vec_id", "score", "at", "block"])
 
         return run
 
@@ -182,27 +184,31 @@ def _solve(rows: DataFrame, dim: int, longest: float, n: int, k: int, every: int
             some = np.arange(0, len(ids), max(1, len(ids) // 64))
             squares = np.array([q["norm"] for q in queries])[:, None] + longest - 2 * x @ block.x[some].T
             far = np.sqrt(np.maximum(0.0, squares))
-            radius = np.maximum.reduce([0.7 * far.min(1), 1e-3 * far.max(1), np.full(len(queries), 1e-12 * math.sqrt(longest))])
+            radius = np.maximum.reduce([0.85 * far.min(1), 1e-3 * far.max(1), np.full(len(queries), 1e-12 * math.sqrt(longest))])
         open_, out = np.arange(len(queries)), []
         while len(open_):
-            low, high = block.windows(centres[:, open_], width * radius[open_] / 2)
+            low, size = block.windows(centres[:, open_], width * radius[open_] / 2)
             wider = []
             for column, at in enumerate(open_.tolist()):
                 q, other = queries[at], ids != queries[at]["id"]
-                rows = np.flatnonzero((block.counts(low[:, column], high[:, column]) >= least) & other)
+                rows = np.flatnonzero((block.counts(low[:, column], size[:, column]) >= least) & other)
                 full = 2 * math.sqrt(longest) + math.sqrt(q["norm"])
-                if not found and len(rows) < min(int(other.sum()), max(2, share)) and radius[at] <= full:
+                wanted = min(int(other.sum()), max(2, share))
+                if not found and len(rows) < wanted and radius[at] <= full:
                     wider.append(at)
                     continue
                 scores = block.scores(x[at], rows)
-                best = np.lexsort((ids[rows], -scores))[:k]
-                out += [(q["id"], int(ids[rows[b]]), float(scores[b])) for b in best]
+                if found:
+                    good = scores >= q["least"]
+                    rows, scores = rows[good], scores[good]
+                best = np.lexsort((ids[rows], -scores))[:k if found else wanted]
+                out += [(q["id"], int(ids[rows[b]]), float(scores[b]), int(rows[b])) for b in best]
             open_ = np.array(wider, dtype=np.int64)
             radius[open_] *= growth
         return out
 
-    shape = "query_id long, vec_id long, score double"
-    first_found = stored_table(meet(queries.withColumn("radius", F.lit(0.0))).mapInArrow(search(False), shape))
+    shape = "query_id long, vec_id long, score double, at int, block long"
+    first_found = stored_table(meet(queries.withColumns({"radius": F.lit(0.0), "least": F.lit(0.0)})).mapInArrow(search(False), shape))
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     worst = (first_found.withColumn("_turn", order).where(F.col("_turn") <= k).groupBy("query_id")
              .agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_n")))
@@ -212,5 +218,8 @@ def _solve(rows: DataFrame, dim: int, longest: float, n: int, k: int, every: int
     # Rounding of projections must not close a window around copies of the query.
     radius = F.when(F.col("_n") >= k, distance * (1 + 1e-9) + F.lit(1e-7 * math.sqrt(longest))).otherwise(wide * 8)
     bounded = queries.join(worst.withColumnRenamed("query_id", "id"), "id", "left").select(
-        "id", "norm", "x", F.coalesce(radius, wide * 8).alias("radius"))
-    return meet(bounded).mapInArrow(search(True), shape)
+        "id", "norm", "x", F.coalesce(radius, wide * 8).alias("radius"),
+        F.when(F.col("_n") >= k, F.col("_least")).otherwise(F.lit(-math.inf)).alias("least"))
+    # What the first search found stays found; a row of a block counts once.
+    both = meet(bounded).mapInArrow(search(True), shape).unionByName(first_found)
+    return both.dropDuplicates(["query_id", "block", "at"]).select("query_id", "vec_id", "score")
