@@ -26,6 +26,8 @@ from duesflow.llm.util import stored_table
 LETTERS = "[A-Za-zÀ-ÿ]+"
 # Distinct words that a task collects before it hands their counts on.
 COUNTED = 200_000
+# Prefix rows of a group from which on its words are compared by what is left without one letter.
+CROWD = 32
 # Rows of a group that a task keeps; larger groups are dealt anew by longer keys.
 GROUP = 50_000
 
@@ -176,6 +178,9 @@ def _matches(side: str, group: list) -> list[tuple]:
         for _, _, _, last, word, n in asked:
             out += [(word, n, r[4], r[5]) for r in there if r[3] >= last and near(word, r[4])]
         return out
+    # Leaving out each letter of a very long word would take the square of its length.
+    if len(there) >= CROWD and max(len(r[4]) for r in group) <= 256:
+        return _one_out(side, asked, there)
     ordered = {"start": sorted((r[4], r[3], r[5]) for r in there)}
     starts = {"start": [r[0] for r in ordered["start"]]}
     for _, first, second, last, word, n in asked:
@@ -198,6 +203,43 @@ def _matches(side: str, group: list) -> list[tuple]:
     return out
 
 
+def _one_out(side: str, asked: list, there: list) -> list[tuple]:
+    """As ``_matches`` for many words: two words are near if they agree once a letter of one, or the same place of both, is out.
+
+    Only letters outside the shared key are left out, so the work grows with the letters of
+    the group, not with its pairs.
+    """
+    from os.path import commonprefix
+
+    words = [r[4] for r in there] + [r[4] for r in asked]
+    if side == "L":
+        fixed = len(commonprefix([min(words), max(words)]))
+    else:
+        words = [w[::-1] for w in words]
+        fixed = len(commonprefix([min(words), max(words)]))
+
+    def part(word):
+        return word[fixed:] if side == "L" else word[:len(word) - fixed]
+
+    rests: dict[str, list] = {}
+    whole: dict[str, list] = {}
+    for row in there:
+        text = part(row[4])
+        whole.setdefault(text, []).append(row)
+        for i in range(len(text)):
+            rests.setdefault(text[:i] + text[i + 1:], []).append((i, row))
+    out = []
+    for _, _, _, last, word, n in asked:
+        text = part(word)
+        found = [row for _, row in rests.get(text, ())]
+        for i in range(len(text)):
+            rest = text[:i] + text[i + 1:]
+            found += whole.get(rest, ())
+            found += [row for at, row in rests.get(rest, ()) if at == i and row[4] != word]
+        out += [(word, n, other, its_n) for other, its_n in {r[4]: r[5] for r in found if r[3] >= last}.items()]
+    return out
+
+
 ROW = "key long, side string, pivot boolean, first int, second int, last int, word string, n long"
 FOUND = f"{ROW}, other string, other_n long"
 
