@@ -5,7 +5,10 @@ written anew per delivery, from ``old`` to ``new``; callers switch to the new
 folder when the run has ended. Fact tables (payments, costs, bills, lines,
 applications) stay in one folder, partitioned by month; a run appends to them
 or replaces whole months. Running a delivery or a billing again leaves the
-same tables. Both functions run jobs.
+same tables, also after one broke off (``runs`` keeps the books). Months that
+a late payment or cost touches are billed again by the next run, so that runs
+in any order of arrival end with the tables of one run over all months. Both
+functions run jobs.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 
 from duesflow import schemas
 from duesflow.functions import dates
-from duesflow.plans import billing, fillers, imports
+from duesflow.plans import billing, fillers, imports, runs
 from duesflow.session import cut_lineage
 from duesflow.sources import files, sinks
+from duesflow.sources.keyindex import KeyIndex
 
 MONTH = ("anio", "mes")
 # The column that puts a fact row into its month.
@@ -50,6 +54,14 @@ def _by_month(df: DataFrame, day: str) -> DataFrame:
     return df.withColumns({"anio": F.year(day), "mes": F.month(day)})
 
 
+def _months(df: DataFrame, first: dt.date, last: dt.date, low: int = 0, high: int = 0) -> DataFrame:
+    """The partitions from month ``low`` before or after ``first`` up to ``high`` from ``last``; others are not listed as input."""
+    if "anio" not in df.columns:
+        return df
+    number = F.col("anio") * 12 + F.col("mes") - 1
+    return df.where(number.between(first.year * 12 + first.month - 1 + low, last.year * 12 + last.month - 1 + high))
+
+
 def _last(df: DataFrame, column: str) -> int:
     return df.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
@@ -118,31 +130,91 @@ def take_in(
         m.write(extras, there.unionByName(fillers.attach_extras(units, there)))
 
     if (rows := raw("payments")) is not None:
-        paid = _read(spark, facts, "Pago")
         method = imports.default_method(methods).first().idFormaPago
-        sinks.append(_by_month(imports.import_payments(rows, paid, method, as_of), "fecha"), f"{facts}/Pago", MONTH)
+        _take_payments(spark, rows, facts, method, as_of)
     if (rows := raw("costs")) is not None:
-        ordinary = _read(spark, facts, "GastoOrdinario")
-        fresh = cut_lineage(imports.import_costs(
-            rows, buildings, ordinary, as_of.year, _last(ordinary, "idGasto"), as_of))
-        if (offers := raw("providers")) is not None:
-            fresh = imports.import_providers(offers, buildings, fresh)
-        fresh = fillers.fill_general_costs(fresh)
-        sinks.append(_by_month(fresh, "fechaEmision"), f"{facts}/GastoOrdinario", MONTH)
+        _take_costs(spark, rows, raw("providers"), buildings, facts, as_of)
     if extraordinary and _read(spark, facts, "GastoExtraordinario").isEmpty():
-        generated = fillers.generate_extraordinary(buildings, extraordinary)
-        sinks.append(_by_month(generated, "fechaEmision"), f"{facts}/GastoExtraordinario", MONTH)
+        generated = cut_lineage(fillers.generate_extraordinary(buildings, extraordinary))
+        add_facts(generated, facts, "GastoExtraordinario")
+
+
+def add_facts(fresh: DataFrame, facts: str, table: str, counts: Mapping[str, int] | None = None, keys: KeyIndex | None = None,
+              number: str | None = None) -> None:
+    """Add new rows to a fact table: note the arrival, write the rows, then their keys, then note that all is done.
+
+    ``fresh`` is read several times: store it first if it is not a table. ``counts`` are rows
+    read and valid; without them both are the rows given.
+    """
+    if counts is None:
+        counts = dict.fromkeys(("leidas", "validas"), fresh.count())
+    batch = runs.new_batch()
+    runs.note_arrival(fresh, facts, table, FACT_DAY[table], batch, counts, number)
+    sinks.append(_by_month(fresh, FACT_DAY[table]), f"{facts}/{table}", MONTH)
+    if keys is not None:
+        keys.add(fresh, batch)
+    runs.arrival_done(fresh.sparkSession, facts, batch)
+
+
+def _payment_keys(spark: SparkSession, facts: str) -> KeyIndex:
+    """The numbers of all payments taken in, made good where a delivery broke off before it noted them."""
+    table = schemas.TABLES["Pago"].schema
+    keys = KeyIndex(spark, f"{facts}/PagoClave", [table["id"]])
+    if keys.read() is None:
+        there = _read(spark, facts, "Pago")
+        if not there.isEmpty():
+            keys.add(there, "before")
+        return keys
+    broken = cut_lineage(runs.broken_arrivals(spark, facts, "Pago"))
+    for batch in [r.lote for r in broken.select("lote").distinct().collect()]:
+        # A delivery touches few months; only these partitions are read.
+        months = [r.anio * 12 + r.mes - 1 for r in broken.where(F.col("lote") == batch).collect()]
+        there = _read(spark, facts, "Pago")
+        if "anio" in there.columns:
+            keys.add(keys.absent(there.where((F.col("anio") * 12 + F.col("mes") - 1).isin(months)), before=batch), batch)
+        runs.arrival_done(spark, facts, batch)
+    return keys
+
+
+def _take_payments(spark: SparkSession, rows: DataFrame, facts: str, method: int, as_of: dt.date) -> None:
+    keys = _payment_keys(spark, facts)
+    read, seen = sinks.counted(rows, "payments_read")
+    cleaned, valid = sinks.counted(imports.clean_payments(read, method, as_of), "payments_valid")
+    distinct = cut_lineage(imports.one_per_number(cleaned))
+    counts = {"leidas": sinks.rows_counted(seen), "validas": sinks.rows_counted(valid)}
+    add_facts(cut_lineage(keys.absent(distinct)), facts, "Pago", counts, keys)
+
+
+def _take_costs(spark: SparkSession, rows: DataFrame, offers: DataFrame | None, buildings: DataFrame, facts: str, as_of: dt.date) -> None:
+    """Costs of a file belong to the year of the import: only that year's partitions are compared with."""
+    ordinary = _read(spark, facts, "GastoOrdinario")
+    last = runs.last_number(spark, facts, "GastoOrdinario")
+    last = _last(ordinary, "idGasto") if last is None else last
+    if "anio" in ordinary.columns:
+        ordinary = ordinary.where(F.col("anio") == as_of.year)
+    read, seen = sinks.counted(rows, "costs_read")
+    parsed = cut_lineage(imports.parse_costs(read, as_of))
+    fresh = cut_lineage(imports.number_costs(parsed, buildings, ordinary, as_of.year, last))
+    if offers is not None:
+        fresh = imports.import_providers(offers, buildings, fresh)
+    fresh = cut_lineage(fillers.fill_general_costs(fresh))
+    add_facts(fresh, facts, "GastoOrdinario", {"leidas": sinks.rows_counted(seen), "validas": parsed.count()}, number="idGasto")
 
 
 def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt.date, last: dt.date) -> None:
     """Bill the months from ``first`` to ``last`` and replace their partitions.
 
+    Months billed earlier that payments or costs arrived for since, or that a run left
+    unfinished, are billed again first, with all that follow them; see ``runs.Restatement``.
     The bill of the month before, if there is one, gives the opening balances, and its lines
     the debts to carry: payments that came in since are applied to them first, and that
     month's lines and applications are replaced. Without one, the accounts open. The account
     table with the closing balances goes to the new folder ``accounts``.
     """
     buildings, units, opening = (_read(spark, masters, t, required=True) for t in ("Consorcio", "UnidadFuncional", "CuentaBancaria"))
+    span = runs.Restatement(spark, facts, first, last)
+    first, last = span.first, span.last
+    span.begin()
     start, end = F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date")
 
     def days(name, low, high):
@@ -150,25 +222,25 @@ def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt
         return (F.col(name) >= F.add_months(start, low)) & (F.col(name) < F.add_months(end, high))
 
     # Late payments of the month before are advances; the month after pays the last bill.
-    payments = _read(spark, facts, "Pago").where(days("fecha", -1, 2))
+    payments = _months(_read(spark, facts, "Pago"), first, last, -1, 1).where(days("fecha", -1, 2))
     in_months = {}
     for table in ("GastoOrdinario", "GastoExtraordinario"):
         # Costs stamped by an earlier run of these months are billed again.
-        in_months[table] = _read(spark, facts, table).where(days(FACT_DAY[table], 0, 1)).withColumn(
+        in_months[table] = _months(_read(spark, facts, table), first, last).where(days(FACT_DAY[table], 0, 1)).withColumn(
             "idExpensa", F.lit(None).cast("bigint"))
     month_before = F.add_months(start, -1)
     # Through the work folder: the run replaces files of the tables it reads here.
-    billed = cut_lineage(_read(spark, facts, "Expensa").where(
+    billed = cut_lineage(_months(_read(spark, facts, "Expensa"), first, first, -1, -1).where(
         (F.col("fechaPeriodoAnio") == F.year(month_before)) & (F.col("fechaPeriodoMes") == F.month(month_before))))
     opening = billing.settle_accounts(opening, buildings, billed.withColumn("periodo", month_before))
-    old_lines = _read(spark, facts, "DetalleExpensa").where(
+    old_lines = _months(_read(spark, facts, "DetalleExpensa"), first, first, -1, -1).where(
         (F.col("primerVencimiento") >= month_before) & (F.col("primerVencimiento") < start))
-    late = cut_lineage(billing.apply_payments(payments, units, old_lines, billed))
-    old_lines = cut_lineage(billing.refresh_lines(old_lines, late, payments))
-    sinks.overwrite_partitions(_by_month(old_lines, "primerVencimiento").sortWithinPartitions(*MONTH, "idUnidadFuncional"),
-                               f"{facts}/DetalleExpensa", MONTH)
-    sinks.overwrite_partitions(_by_month(late.withColumn("_periodo", month_before), "_periodo").drop("_periodo"),
-                               f"{facts}/PagoAplicado", MONTH)
+    if not billed.isEmpty():
+        late = cut_lineage(billing.apply_payments(payments, units, old_lines, billed))
+        old_lines = cut_lineage(billing.refresh_lines(old_lines, late, payments))
+        sinks.overwrite_partitions(_by_month(old_lines, "primerVencimiento"), f"{facts}/DetalleExpensa", MONTH, ["idUnidadFuncional"])
+        sinks.overwrite_partitions(_by_month(late.withColumn("_periodo", month_before), "_periodo").drop("_periodo"),
+                                   f"{facts}/PagoAplicado", MONTH)
     before = old_lines.select(
         "idUnidadFuncional", dates.period(F.col("primerVencimiento")).alias("periodo"),
         (F.col("totalaPagar") - F.col("pagosRecibidos")).alias("deuda"), F.col("pagosRecibidos").alias("pagado"))
@@ -178,9 +250,7 @@ def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt
     bills = run.bills.withColumns({"anio": F.col("fechaPeriodoAnio"), "mes": F.col("fechaPeriodoMes")})
     lines = cut_lineage(run.lines)
     sinks.overwrite_partitions(bills, f"{facts}/Expensa", MONTH)
-    sinks.overwrite_partitions(
-        _by_month(lines, "primerVencimiento").sortWithinPartitions(*MONTH, "idUnidadFuncional"),
-        f"{facts}/DetalleExpensa", MONTH)
+    sinks.overwrite_partitions(_by_month(lines, "primerVencimiento"), f"{facts}/DetalleExpensa", MONTH, ["idUnidadFuncional"])
     # A payment of one month is applied to the line of the month before.
     paid = payments.select(F.col("id").alias("idPago"), dates.billed_period(F.col("fecha")).alias("_periodo"))
     applied = billing.apply_payments(payments, units, lines, run.bills).join(paid, "idPago")
@@ -190,3 +260,4 @@ def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt
         stamped = cut_lineage(_by_month(costs, "fechaEmision"))
         sinks.overwrite_partitions(stamped, f"{facts}/{table}", MONTH)
     sinks.replace_table(run.accounts, f"{accounts}/CuentaBancaria")
+    span.end()

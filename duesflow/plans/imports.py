@@ -51,10 +51,14 @@ def clean_payments(raw: DataFrame, method: int | Column, as_of=None) -> DataFram
     return conform(rows.where(F.col("id").isNotNull()), "Pago")
 
 
+def one_per_number(cleaned: DataFrame) -> DataFrame:
+    """One row per payment number: the earliest, then the smallest account and amount."""
+    return upsert.keep_one(cleaned, ["id"], ["fecha", "cbuCuentaOrigen", "importe"])
+
+
 def import_payments(raw: DataFrame, payments: DataFrame, method: int | Column, as_of=None) -> DataFrame:
     """New Pago rows; the file's payment number is the key."""
-    cleaned = clean_payments(raw, method, as_of).dropDuplicates(["id"])
-    return upsert.absent(cleaned, payments, ["id"])
+    return upsert.absent(one_per_number(clean_payments(raw, method, as_of)), payments, ["id"])
 
 
 def parse_costs(raw: DataFrame, as_of=None, style: str = "reference") -> DataFrame:
@@ -95,7 +99,13 @@ def import_costs(raw: DataFrame, buildings: DataFrame, ordinary: DataFrame, year
     """New GastoOrdinario rows, numbered after ``last_number`` by building,
     month and category. Costs of a building, month and category that the ledger
     already has are not added again."""
-    costs = parse_costs(raw, as_of, style).join(
+    return number_costs(parse_costs(raw, as_of, style), buildings, ordinary, year, last_number, invoices)
+
+
+def number_costs(parsed: DataFrame, buildings: DataFrame, ordinary: DataFrame, year: int, last_number: int = 0,
+                 invoices: str = "running") -> DataFrame:
+    """``import_costs`` over rows of ``parse_costs``. ``ordinary`` may be cut to the costs of ``year``."""
+    costs = parsed.join(
         buildings.select(F.col("id").alias("consorcioId"), F.trim("nombre").alias("nombreConsorcio")),
         "nombreConsorcio",
     ).select(

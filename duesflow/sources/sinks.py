@@ -8,19 +8,28 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
+def _gathered(df: DataFrame, partition_by: Sequence[str], sort_by: Sequence[str] = ()) -> DataFrame:
+    """Rows of a partition in one task, or some where it is large, and small partitions together: one file a
+    partition and task instead of one from every task."""
+    if not partition_by:
+        return df
+    rows = df.hint("rebalance", *partition_by)
+    return rows.sortWithinPartitions(*partition_by, *sort_by) if sort_by else rows
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Add rows to a Parquet table (runs a job)."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    _gathered(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace just the partitions that occur in ``df`` (runs a job).
+def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str], sort_by: Sequence[str] = ()) -> None:
+    """Replace just the partitions that occur in ``df`` (runs a job), rows sorted within files by ``sort_by``.
 
     Writing the same month again gives the same table, so a repeated run adds
     nothing. ``df`` must not read from ``path``.
     """
     (
-        df.write.mode("overwrite")
+        _gathered(df, partition_by, sort_by).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
@@ -79,6 +88,11 @@ def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
     return df.observe(observation, F.count(F.lit(1)).alias("rows")), observation
 
 
+def rows_counted(observation: Observation) -> int:
+    """What ``counted`` has counted; call it after the action over its frame."""
+    return observation.get["rows"]
+
+
 def preview(df: DataFrame, order_by: Sequence, n: int = 10) -> DataFrame:
     """The first ``n`` rows in the given order (a top-k, no full sort)."""
     return df.orderBy(*order_by).limit(n)
