@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duesflow.llm.util import SPACE, stored_table, text_or_empty
+from duesflow.llm.util import SPACE, free_names, stored_table, text_or_empty
 
 
 def normal_text(name: str = "text") -> Column:
@@ -35,8 +35,9 @@ def _colliding(texts: DataFrame, copies: DataFrame) -> DataFrame:
     members = stored_table(texts.join(copies.hint("merge"), "digest")
                            .select("digest", "text", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")))
     keeper = stored_table(members.where("stays").groupBy("digest").agg(F.min("text").alias("kept_text")))
-    return (members.join(keeper.hint("merge"), "digest").where(F.col("text") != F.col("kept_text"))
-            .select("digest").distinct())
+    # Stored before it is made distinct: an aggregation by the join's key would keep a hot group in one task.
+    return stored_table(members.join(keeper.hint("merge"), "digest").where(F.col("text") != F.col("kept_text"))
+                        .select("digest")).distinct()
 
 
 def exact_groups(docs: DataFrame, digest=content_hash) -> DataFrame:
@@ -80,14 +81,15 @@ def exact_groups(docs: DataFrame, digest=content_hash) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns.
 
-    Columns named like the helper columns below (``_sha``, ``_turn``) are not supported.
+    Extra columns may have any name.
     """
     columns = docs.columns
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    digest, turn, kept_id, kept_sha = free_names(docs, "_sha", "_turn", "_kept_id", "_kept_sha")
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     others = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
     # One row of those that repeat both id and text; the limit also holds before the shuffle.
-    alone = (docs.withColumn("_sha", F.sha2(normal_text(), 256))
-             .withColumn("_turn", F.row_number().over(W.partitionBy("_sha", "doc_id").orderBy(others)))
-             .where("_turn = 1"))
-    return alone.join(kept, (F.col("_sha") == F.col("_kept_sha")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")),
+    alone = (docs.withColumn(digest, F.sha2(normal_text(), 256))
+             .withColumn(turn, F.row_number().over(W.partitionBy(digest, "doc_id").orderBy(others)))
+             .where(F.col(turn) == 1))
+    return alone.join(kept, (F.col(digest) == F.col(kept_sha)) & F.col("doc_id").eqNullSafe(F.col(kept_id)),
                       "left_semi").select(*[f"`{c}`" for c in columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duesflow.llm.util import NOT_SPACE, SPACE, stored_table, text_or_empty
+from duesflow.llm.util import NOT_SPACE, SPACE, free_names, stored_table, text_or_empty
 from duesflow.operators.numbering import id_bucket, number_rows
 
 UNIT = 1 << 31
@@ -160,17 +160,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     a tail of its words, ``text`` holds these words, one space apart, and ``n_chars`` follows.
     Rows of which no word is taken, such as empty texts, are left out. The documents are
     written to the shared folder once, so that rows keep their identity in later steps.
-    Columns named ``_mix_...`` are not supported.
+    Extra columns may have any name.
     """
     columns = docs.columns
-    marked = stored_table(docs.withColumn("_mix_uid", F.monotonically_increasing_id()))
-    _, _, pieces = mix_sources(marked, uid="_mix_uid", **options)
-    taken = (pieces.groupBy("uid", "walk").agg(F.min("first").alias("_mix_first"), F.sum("length").alias("_mix_length"))
-             .select("_mix_first", "_mix_length", F.col("uid").alias("_mix_taken")))
+    row, first, length, row_taken = free_names(docs, "_mix_uid", "_mix_first", "_mix_length", "_mix_taken")
+    marked = stored_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    _, _, pieces = mix_sources(marked, uid=row, **options)
+    taken = (pieces.groupBy("uid", "walk").agg(F.min("first").alias(first), F.sum("length").alias(length))
+             .select(first, length, F.col("uid").alias(row_taken)))
     words = F.split(F.regexp_replace(text_or_empty(), f"^{SPACE}", ""), SPACE)
-    part = F.array_join(F.slice(words, F.col("_mix_first").cast("int") + 1, F.col("_mix_length").cast("int")), " ")
-    text = F.when(F.col("_mix_length") == word_count(), F.col("text")).otherwise(part)
-    out = marked.join(taken, F.col("_mix_uid") == F.col("_mix_taken")).withColumn("text", text)
+    part = F.array_join(F.slice(words, F.col(first).cast("int") + 1, F.col(length).cast("int")), " ")
+    text = F.when(F.col(length) == word_count(), F.col("text")).otherwise(part)
+    out = marked.join(taken, F.col(row) == F.col(row_taken)).withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in columns])

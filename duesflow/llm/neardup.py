@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duesflow.llm.util import SPACE, stored_table, text_or_empty
+from duesflow.llm.tokens import forget_coders
+from duesflow.llm.util import SPACE, free_names, stored_table, text_or_empty
 from duesflow.llm.words import WordHasher, mix
 
 WORDS = 5
@@ -197,9 +198,11 @@ def _full_buckets(texts: DataFrame, least: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        met = np.zeros(1 << BUCKET_BITS, np.int64)
+        forget_coders()
+        # In place: bincount would take as much again, in 64 bits, for every call.
+        met = np.zeros(1 << BUCKET_BITS, np.int32)
         for hashes in _held(batches):
-            met += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(met))
+            np.add.at(met, (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), 1)
         part = TaskContext.get().partitionId()
         for block in range(blocks):
             some = np.minimum(met[block * width:(block + 1) * width], least).astype(np.int32)
@@ -532,9 +535,10 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """One row of each class of ``near_groups``, with all columns of ``docs``.
 
     The documents are written to the shared folder once, so that rows keep their identity.
-    Columns named ``_near_...`` are not supported.
+    Extra columns may have any name.
     """
-    held = stored_table(docs.withColumn("_near_row", F.monotonically_increasing_id()))
-    plain = held.select(F.col("_near_row").alias("uid"), "doc_id", text_or_empty().alias("text"))
-    kept = _classes(plain, least).where("kept").select(F.col("uid").alias("_near_kept"))
-    return held.join(kept, F.col("_near_row") == F.col("_near_kept"), "left_semi").drop("_near_row")
+    row, stays = free_names(docs, "_near_row", "_near_kept")
+    held = stored_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    plain = held.select(F.col(row).alias("uid"), "doc_id", text_or_empty().alias("text"))
+    kept = _classes(plain, least).where("kept").select(F.col("uid").alias(stays))
+    return held.join(kept, F.col(row) == F.col(stays), "left_semi").drop(row)

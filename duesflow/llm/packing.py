@@ -44,28 +44,33 @@ class OpenWindows:
         self._next += 1
 
     def add(self, doc, start: int, length: int, total: int, ids: bytes):
-        """Place ids ``start`` to ``start + length`` of a document; yields the windows that close."""
+        """Place ids ``start`` to ``start + length`` of a document; yields the windows that close.
+
+        Only the ids of a piece are copied, so the work grows with the length of the text.
+        """
         import bisect
 
+        origin = start
         while length:
+            here = 4 * (start - origin)
             at = bisect.bisect_left(self._room, (min(length, self.length), -1))
             if at == len(self._room) and len(self._room) < self.width:
                 self._open()
                 at = len(self._room) - 1
             if at < len(self._room):
                 take = min(length, self.length)
-                full = self._put(at, (doc, start, take, total, ids[:4 * take]))
+                full = self._put(at, (doc, start, take, total, ids[here:here + 4 * take]))
                 if full:
                     yield full
             else:
                 room, window = self._room[0]
                 take = room if room > self.slack else 0
                 if take:
-                    yield self._put(0, (doc, start, take, total, ids[:4 * take]))
+                    yield self._put(0, (doc, start, take, total, ids[here:here + 4 * take]))
                 else:
                     self._room.pop(0)
                     yield self._pieces.pop(window)
-            start, length, ids = start + take, length - take, ids[4 * take:]
+            start, length = start + take, length - take
 
     def rest(self):
         """The windows still open, the fullest first."""

@@ -108,6 +108,16 @@ def worker_coder(path: str) -> WordCoder:
     return getattr(kept, path)
 
 
+def forget_coders() -> None:
+    """Drop the words that this Python worker keeps; operators with large tables of their own call it in their tasks."""
+    import sys
+
+    kept = sys.modules.get("_kept_word_coders")
+    if kept is not None:
+        for name in [n for n in vars(kept) if not n.startswith("__")]:
+            delattr(kept, name)
+
+
 def coded_texts(coder: WordCoder, batches, size: int = 300_000):
     """(id, ids) of (id, text) batches, texts of about ``size`` characters at a time; NULL texts are empty."""
     keys, texts, held = [], [], 0

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duesflow.llm.tokens import forget_coders
 from duesflow.llm.util import SPACE, stored_table
 
 PREFIXES = (3, 4, 5, 6)
@@ -230,6 +231,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     def keep(batches):
         import pyarrow as pa
 
+        forget_coders()
         scorer = Scorer(Model(*shared.value))
         for batch in batches:
             clean = [scorer(t.as_py() or "")[0] < threshold for t in batch.column(place)]

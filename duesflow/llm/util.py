@@ -25,6 +25,17 @@ def crc_part(name: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string")) % parts == part, F.lit(False))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as no column of ``df`` has, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored_table(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later uses read one and the same result."""
     return cut_lineage(df)

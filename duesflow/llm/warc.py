@@ -54,7 +54,7 @@ def format_record(page_id, url, payload: bytes, digest: str, kind: str, refers_t
     if url is not None:
         from urllib.parse import quote
 
-        head.append(f"WARC-Target-URI: {quote(url, safe='%/:=&?~#+!$,;@()*[]')}")
+        head.append(f"WARC-Target-URI: {quote(url, safe='/:=&?~#+!$,;@()*[]')}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",

@@ -33,6 +33,9 @@ class WordHasher:
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
         values = self._bytes[letters] * self._places[place & 4095]
+        if len(place) and place.max() >= 4096:
+            # Beyond the table a place has the factor of its block of 4096 as well.
+            values *= mix((place >> 12).astype(np.uint64)) | np.uint64(1)
         hashes = mix(np.add.reduceat(values, first)) if len(first) else np.empty(0, np.uint64)
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
         return hashes, starts, ends, np.diff(np.searchsorted(starts, bounds))
