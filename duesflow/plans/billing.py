@@ -54,8 +54,10 @@ def combine_costs(ordinary: DataFrame, extraordinary: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(MONEY)
 
     def part(df: DataFrame, ord_: Column, ext: Column) -> DataFrame:
+        # Months as partitions stay known, so that a report on one month lists no other.
+        months = [c for c in ("anio", "mes") if c in ordinary.columns and c in extraordinary.columns]
         return df.select("idExpensa", "consorcioId", "fechaEmision",
-                         ord_.alias("ordinario"), ext.alias("extraordinario"))
+                         ord_.alias("ordinario"), ext.alias("extraordinario"), *months)
 
     amount = F.col("importeTotal")
     return part(ordinary, amount, zero).unionByName(part(extraordinary, zero, amount))

@@ -95,14 +95,18 @@ def take_in(
 ) -> None:
     """Import a delivery. ``drop`` names the file of each kind: payments,
     buildings, people, unit_owners, units, costs, providers; kinds may be left
-    out. ``extraordinary`` costs are generated if the ledger has none."""
+    out. Lines with too few or too many fields go to the table ``Rechazo`` with file and cause.
+    ``extraordinary`` costs are generated if the ledger has none."""
     m = _Masters(spark, old, new)
 
     def raw(kind: str) -> DataFrame | None:
-        readers = {"payments": files.read_payments, "buildings": files.read_buildings,
-                   "people": files.read_people, "unit_owners": files.read_unit_owners,
-                   "units": files.read_units, "costs": files.read_costs, "providers": files.read_providers}
-        return readers[kind](spark, drop[kind]) if kind in drop else None
+        if kind not in drop:
+            return None
+        if kind not in files.DELIMITED:
+            return files.read_costs(spark, drop[kind])
+        rows, rejects = files.read_checked(spark, kind, drop[kind])
+        sinks.append(rejects, f"{facts}/Rechazo")
+        return rows
 
     roles, methods = m.before("TipoRol"), m.before("FormaDePago")
     m.write("TipoRol", roles.unionByName(fillers.seed_roles(roles)))

@@ -37,6 +37,24 @@ def _equals(column: str, value) -> list[Column]:
     return [] if value is None else [F.col(column) == F.lit(value)]
 
 
+def in_period(df: DataFrame, day: str, year: int | None, month: int | None) -> DataFrame:
+    """Rows of the year, or of the month of it, by ``day``; tables partitioned by ``anio`` and ``mes`` list no other folder.
+
+    Costs and lines of a bill are dated in the bill's month, so a report on one bill reads that month.
+    """
+    if year is None:
+        return df
+    parts = set(df.columns)
+    if month is None:
+        wanted = dates.in_year(F.col(day), year)
+    else:
+        start = dt.date(year, month, 1)
+        wanted = [F.col(day) >= F.lit(start), F.col(day) < F.add_months(F.lit(start), 1)]
+        wanted += _equals("mes", month) if "mes" in parts else []
+    wanted += _equals("anio", year) if "anio" in parts else []
+    return _where(df, *wanted)
+
+
 def resolve_bill(buildings: DataFrame, bills: DataFrame, name: str | None = None,
                  year: int | None = None, month: int | None = None) -> DataFrame:
     """(consorcioId, nombre, expensaId, anioPeriodo, mesPeriodo) of the bills asked for."""
@@ -74,7 +92,7 @@ def weekly_cost_flow(
     """
     day = F.col("fechaEmision")
     weekly = (
-        costs.where(F.col("idExpensa").isNotNull())
+        in_period(costs, "fechaEmision", year, month).where(F.col("idExpensa").isNotNull())
         .groupBy(F.col("idExpensa").alias("expensaId"), F.year(day).alias("Anio"),
                  F.month(day).alias("Mes"), dates.week_of_year(day).alias("Semana"))
         .agg(F.sum("ordinario").cast(MONEY).alias("ord"), F.sum("extraordinario").cast(MONEY).alias("ext"))
@@ -336,6 +354,8 @@ def expense_document(
     """The six sections of each bill's expense document: header, how to pay,
     debtors, ordinary costs, extraordinary costs, financial status."""
     billed = resolve_bill(buildings, bills, name, year, month)
+    lines = in_period(lines, "primerVencimiento", year, month)
+    ordinary, extraordinary = (in_period(df, "fechaEmision", year, month) for df in (ordinary, extraordinary))
     period = dates.period_of(F.col("anioPeriodo"), F.col("mesPeriodo"))
     about = billed.join(
         buildings.select(F.col("id").alias("consorcioId"), "direccion", "CVU_CBU", "metrosCuadradosTotal"),

@@ -52,7 +52,7 @@ TABLES: dict[str, Table] = {
     "Persona": Table(
         "idPersona bigint, nombre string, apellido string, dni string, email string, "
         "CVU_CBU string, telefono string, idTipoRol int",
-        required=("nombre", "apellido", "dni"),
+        required=("nombre", "apellido", "dni", "idTipoRol"),
         unique=(("idPersona",), ("CVU_CBU",)),
         references={"idTipoRol": ("TipoRol", "idTipoRol")},
         widths={"nombre": 100, "apellido": 100, "dni": 8, "email": 150, "CVU_CBU": 22, "telefono": 15},
@@ -60,7 +60,7 @@ TABLES: dict[str, Table] = {
     "Consorcio": Table(
         "id bigint, nombre string, CVU_CBU string, direccion string, "
         "metrosCuadradosTotal decimal(10,2)",
-        required=("nombre",),
+        required=("nombre", "direccion"),
         unique=(("id",),),
         references={"CVU_CBU": ("CuentaBancaria", "CVU_CBU")},
         widths={"nombre": 100, "CVU_CBU": 22, "direccion": 200},
@@ -75,6 +75,7 @@ TABLES: dict[str, Table] = {
     "UnidadFuncional": Table(
         "id bigint, CVU_CBU string, consorcioId bigint, departamento string, piso string, "
         "numero int, metrosCuadrados decimal(10,2), porcentajeExpensas decimal(5,2), tipo string",
+        required=("CVU_CBU", "consorcioId"),
         unique=(("id",),),
         references={"CVU_CBU": ("Persona", "CVU_CBU"), "consorcioId": ("Consorcio", "id")},
         widths={"CVU_CBU": 22, "departamento": 1, "piso": 4, "tipo": 50},

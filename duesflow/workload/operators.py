@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duesflow import schemas
 from duesflow.functions import dates
-from duesflow.operators import quality, share, upsert
+from duesflow.operators import prefix, quality, share, upsert
 from duesflow.operators.protect import key_hash, protect_table, reveal_table
 from duesflow.sources.sinks import preview
 from duesflow.workload import sql
@@ -106,8 +106,12 @@ def _checked(t: Ledger):
         "tipoServicio", F.repeat("tipoServicio", F.when(F.col("importeTotal") > 90000, 9).otherwise(1)))
     units = t.units.withColumn("CVU_CBU", F.when(F.col("metrosCuadrados") > 100, F.col("CVU_CBU")).otherwise(
         F.concat(F.lit("x"), "CVU_CBU"))).withColumn("tipo", F.lit("local"))
-    people = t.people.withColumn("apellido", F.when(F.col("apellido") != "BUILDING", F.col("apellido")))
-    return {"Consorcio": t.buildings, "Persona": people, "UnidadFuncional": units, "GastoOrdinario": ordinary}
+    units = units.withColumn("consorcioId", F.when(F.col("id") % 13 != 0, F.col("consorcioId")))
+    people = t.people.withColumns({
+        "apellido": F.when(F.col("apellido") != "BUILDING", F.col("apellido")),
+        "idTipoRol": F.when(F.col("idPersona") % 11 != 0, F.col("idTipoRol"))})
+    buildings = t.buildings.withColumn("direccion", F.when(F.col("id") % 5 != 0, F.col("direccion")))
+    return {"Consorcio": buildings, "Persona": people, "UnidadFuncional": units, "GastoOrdinario": ordinary}
 
 
 def _count(table: str, rule: str, columns: str, source: str) -> str:
@@ -120,9 +124,10 @@ def _quality_sql() -> str:
     parts = []
     for table in ("Consorcio", "Persona", "UnidadFuncional", "GastoOrdinario"):
         spec = schemas.TABLES[table]
+        missing = {"Persona.apellido": "customer WHERE c_mktsegment = 'BUILDING'", "Persona.idTipoRol": "customer WHERE c_custkey % 11 = 0",
+                   "Consorcio.direccion": "nation WHERE n_nationkey % 5 = 0", "UnidadFuncional.consorcioId": "customer WHERE c_custkey % 13 = 0"}
         for c in spec.required:
-            parts.append((table, "required", c, "customer WHERE c_mktsegment = 'BUILDING'"
-                          if c == "apellido" else none))
+            parts.append((table, "required", c, missing.get(f"{table}.{c}", none)))
         for c in spec.widths:
             found = {"UnidadFuncional.CVU_CBU": f"customer WHERE NOT {sql.cents('c_acctbal')} > 10000",
                      "GastoOrdinario.tipoServicio": "cost WHERE NOT extra AND amt > 90000"}
@@ -180,3 +185,31 @@ def hash_join(t: Ledger):
     payments = t.payments.select(F.col("id").alias("idPago"), key_hash(F.col("cbuCuentaOrigen")).alias("h"))
     units = t.units.select(F.col("id").alias("idUnidadFuncional"), "consorcioId", key_hash(F.col("CVU_CBU")).alias("h"))
     return payments.join(units, "h").drop("h")
+
+
+# --- prefixes ---------------------------------------------------------------------
+
+_PREFIXES = """prefixes AS (
+  SELECT substr(p_name, 1, CAST(2 + p_partkey % 9 AS INT)) AS prefix, min(p_partkey) AS owner FROM part GROUP BY 1)"""
+
+
+def _prefixes(t: Ledger):
+    """Prefixes of two to ten letters that the names of the parts themselves give."""
+    return t.table("part").groupBy(F.substring("p_name", F.lit(1), (F.col("p_partkey") % 9 + 2).cast("int")).alias("prefix")).agg(
+        F.min("p_partkey").alias("owner"))
+
+
+@query("prefix_matches", "p_partkey int, prefix text, owner int", f"""WITH {_PREFIXES}
+SELECT p_partkey, prefix, owner FROM part JOIN prefixes ON starts_with(p_name, prefix)""")
+def prefix_matches(t: Ledger):
+    return prefix.prefix_matches(t.table("part").select("p_partkey", "p_name"), "p_name", _prefixes(t), "prefix")
+
+
+@query("longest_prefix", "p_partkey int, prefix text, owner int", f"""WITH {_PREFIXES},
+ranked AS (
+  SELECT p_partkey, prefix, owner, row_number() OVER (PARTITION BY p_partkey ORDER BY length(prefix) DESC) AS place
+  FROM part LEFT JOIN prefixes ON starts_with(p_name, prefix) AND owner % 2 = 1)
+SELECT p_partkey, prefix, owner FROM ranked WHERE place = 1""")
+def longest_prefix(t: Ledger):
+    """Every part with the longest of half the prefixes, or none."""
+    return prefix.longest_prefix(t.table("part").select("p_partkey", "p_name"), "p_name", _prefixes(t).where("owner % 2 = 1"), "prefix")

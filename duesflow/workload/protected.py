@@ -66,7 +66,7 @@ def crosstab(t: Ledger):
 def origin(t: Ledger):
     p = _Protected(t)
     return plain._two_decimals(
-        protected.collections_by_origin(p.applied, p.payments, p.lines, p.units, p.key))
+        protected.collections_by_origin(p.applied, p.payments, p.lines, p.units, p.key, end=plain.EVER))
 
 
 @query("topn_protected", plain.TOP_MONTH_COLUMNS, plain.TOP_MONTH_SQL)
@@ -78,11 +78,11 @@ def topn(t: Ledger):
 @query("debtors_protected", plain.DEBTOR_COLUMNS, plain.debtor_rows_sql(clamp=False))
 def debtors(t: Ledger):
     p = _Protected(t)
-    owing = protected.debtors(p.lines, p.units, p.people, p.key)
+    owing = protected.debtors(p.lines, p.units, p.people, p.key, end=plain.EVER)
     return reports.top_debtors(owing, n=3, per_building=True)
 
 
 @query("gaps_protected", plain.GAP_COLUMNS, plain.GAP_SQL)
 def gaps(t: Ledger):
     p = _Protected(t)
-    return protected.payment_gaps(p.applied, p.payments, p.lines, p.units, p.key)
+    return protected.payment_gaps(p.applied, p.payments, p.lines, p.units, p.key, end=plain.EVER)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from duesflow.plans import billing, notices, reports
@@ -35,11 +37,25 @@ SELECT n_name AS "Nombre_Consorcio", b AS "ID_Consorcio", CAST(b AS BIGINT) * 10
 FROM weekly JOIN nation ON n_nationkey = b"""
 
 
+# The end of a range that leaves nothing out, so that results do not depend on the day of the run.
+EVER = dt.date(9998, 12, 31)
+# Parameters of the queries on one bill and on a range: a building, its name from the data, and months of all sizes of the tables.
+ONE_BUILDING, ONE_NAME = 7, "NATION_7"
+ONE_YEAR, ONE_MONTH = 2000, 5
+
+
 @query("weekly_cost_flow", WEEKLY_COLUMNS, WEEKLY_SQL)
 def weekly_cost_flow(t: Ledger):
     return reports.weekly_cost_flow(t.costs(), t.bills, t.buildings)
 
 
+@query("weekly_cost_flow_one_bill", WEEKLY_COLUMNS, f"""{WEEKLY_SQL}
+WHERE n_name = '{ONE_NAME}' AND y = {ONE_YEAR} AND m = {ONE_MONTH}""")
+def weekly_cost_flow_one_bill(t: Ledger):
+    """The report for one building and month, as its readers ask for it (names in any case, with blanks around)."""
+    return reports.weekly_cost_flow(t.costs(), t.bills, t.buildings, f" {ONE_NAME.lower()} ", ONE_YEAR, ONE_MONTH)
+
+
 _MONTHS = [f"coalesce(sum(CASE WHEN month(d) = {i} THEN amt END), 0)" for i in range(1, 13)]
 CROSSTAB_COLUMNS = "consorcioId int, anio int, departamento text, " + ", ".join(
     f"{m} money" for m in (*reports.MONTH_COLUMNS, "Total"))
@@ -90,7 +106,15 @@ def _two_decimals(df):
 
 @query("collections_by_origin", ORIGIN_COLUMNS, ORIGIN_SQL)
 def collections_by_origin(t: Ledger):
-    return _two_decimals(reports.collections_by_origin(t.weighted_paid))
+    return _two_decimals(reports.collections_by_origin(t.weighted_paid, end=EVER))
+
+
+@query("collections_by_origin_range", ORIGIN_COLUMNS, ORIGIN_SQL.replace("FROM lines)", f"""FROM lines
+  WHERE b = {ONE_BUILDING} AND d >= DATE '{ONE_YEAR}-02-10' AND d <= DATE '{ONE_YEAR}-11-20')"""))
+def collections_by_origin_range(t: Ledger):
+    """One building, a range of days with both ends in it."""
+    return _two_decimals(reports.collections_by_origin(
+        t.weighted_paid, ONE_BUILDING, dt.date(ONE_YEAR, 2, 10), dt.date(ONE_YEAR, 11, 20)))
 
 
 TOP_MONTH_COLUMNS = "Tipo text, Anio int, Mes int, NombreMes text, Monto money"
@@ -133,7 +157,7 @@ FROM ranked JOIN customer ON c_custkey = u WHERE r <= 3"""
 
 @query("top_debtors", DEBTOR_COLUMNS, debtor_rows_sql(clamp=True))
 def top_debtors(t: Ledger):
-    return reports.top_debtors(reports.debtors(t.lines, t.units, t.people), n=3, per_building=True)
+    return reports.top_debtors(reports.debtors(t.lines, t.units, t.people, end=EVER), n=3, per_building=True)
 
 
 @query("top_debtors_overall", DEBTOR_COLUMNS, f"""WITH {debtor_sql(True)}
@@ -143,7 +167,7 @@ SELECT b AS "consorcioId", row_number() OVER (ORDER BY debt DESC, u) AS puesto,
        debt / 100.0 AS morosidad
 FROM owing JOIN customer ON c_custkey = u ORDER BY debt DESC, u LIMIT 3""")
 def top_debtors_overall(t: Ledger):
-    return reports.top_debtors(reports.debtors(t.lines, t.units, t.people), n=3)
+    return reports.top_debtors(reports.debtors(t.lines, t.units, t.people, end=EVER), n=3)
 
 
 def _xml(tag: str, value: str) -> str:
@@ -178,7 +202,14 @@ SELECT u AS "idUF", b AS "idConsorcio", d AS "fechaPago", n AS orden, days AS "d
 
 @query("payment_gaps", GAP_COLUMNS, GAP_SQL)
 def payment_gaps(t: Ledger):
-    return reports.payment_gaps(t.weighted_paid)
+    return reports.payment_gaps(t.weighted_paid, end=EVER)
+
+
+@query("payment_gaps_range", GAP_COLUMNS, GAP_SQL.replace("WHERE coalesce(wo, 0) > 0", f"""WHERE coalesce(wo, 0) > 0 AND b = {ONE_BUILDING}
+    AND d >= DATE '{ONE_YEAR - 1}-06-15' AND d <= DATE '{ONE_YEAR}-06-14'"""))
+def payment_gaps_range(t: Ledger):
+    """One building, a year of days: the first payment in the range has none before it."""
+    return reports.payment_gaps(t.weighted_paid, ONE_BUILDING, start=dt.date(ONE_YEAR - 1, 6, 15), end=dt.date(ONE_YEAR, 6, 14))
 
 
 @query("payment_gaps_xml", "idUF int, fechaPago date, orden int, parte int, xml text", f"""WITH {GAPS},
@@ -189,7 +220,7 @@ FROM ends
 UNION ALL SELECT u, d, n, 0, '<unidadFuncional id="' || u || '">' FROM ends WHERE days IS NULL
 UNION ALL SELECT u, d, n, 2, '</unidadFuncional>' FROM ends WHERE back = 1""")
 def payment_gaps_xml(t: Ledger):
-    return reports.payment_gaps_xml(reports.payment_gaps(t.weighted_paid, mark_last=True))
+    return reports.payment_gaps_xml(reports.payment_gaps(t.weighted_paid, end=EVER, mark_last=True))
 
 
 @query("event_gaps", "idUF int, fechaPago date, orden int, diasDesdeAnterior int", """
@@ -202,7 +233,7 @@ def event_gaps(t: Ledger):
     rows = t.table("events").select(
         F.col("user_id").alias("idUnidadFuncional"), F.lit(0).alias("consorcioId"),
         F.col("ts").cast("timestamp").alias("fecha"), F.lit(1).alias("prorrateoOrdinario"))
-    return reports.payment_gaps(rows)
+    return reports.payment_gaps(rows, end=EVER)
 
 
 def run_batch(t: Ledger, **options) -> billing.BillingRun:
