@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from duesflow import schemas
 from duesflow.functions import dates
 from duesflow.operators import prefix, quality, share, upsert
-from duesflow.operators.protect import key_hash, protect_table, reveal_table
+from duesflow.operators.protect import key_hash, keyed_hash, protect_table, reveal_table
 from duesflow.sources.sinks import preview
 from duesflow.workload import sql
 from duesflow.workload.registry import query
@@ -179,14 +179,27 @@ def protect_roundtrip(t: Ledger):
     return reveal_table(protect_table(t.people, "Persona", key), "Persona", key)
 
 
-@query("hash_join", "idPago int, idUnidadFuncional int, consorcioId int", f"""WITH {sql.PAID}
-SELECT id AS "idPago", u AS "idUnidadFuncional", b AS "consorcioId" FROM paid""")
-def hash_join(t: Ledger):
-    payments = t.payments.select(F.col("id").alias("idPago"), key_hash(F.col("cbuCuentaOrigen")).alias("h"))
-    units = t.units.select(F.col("id").alias("idUnidadFuncional"), "consorcioId", key_hash(F.col("CVU_CBU")).alias("h"))
+_HASH_JOIN = f"""WITH {sql.PAID}
+SELECT id AS "idPago", u AS "idUnidadFuncional", b AS "consorcioId" FROM paid"""
+
+
+def _joined_by_hash(t: Ledger, digest):
+    payments = t.payments.select(F.col("id").alias("idPago"), digest(F.col("cbuCuentaOrigen")).alias("h"))
+    units = t.units.select(F.col("id").alias("idUnidadFuncional"), "consorcioId", digest(F.col("CVU_CBU")).alias("h"))
     return payments.join(units, "h").drop("h")
 
 
+@query("hash_join", "idPago int, idUnidadFuncional int, consorcioId int", _HASH_JOIN)
+def hash_join(t: Ledger):
+    return _joined_by_hash(t, key_hash)
+
+
+@query("hash_join_keyed", "idPago int, idUnidadFuncional int, consorcioId int", _HASH_JOIN)
+def hash_join_keyed(t: Ledger):
+    """The join on keyed hashes, which cannot be guessed without the key."""
+    return _joined_by_hash(t, keyed_hash(t.spark, secrets.token_bytes(32)))
+
+
 # --- prefixes ---------------------------------------------------------------------
 
 _PREFIXES = """prefixes AS (

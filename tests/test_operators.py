@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+import hmac
 import os
 from decimal import Decimal
 
@@ -121,6 +123,33 @@ def test_protect_hides_and_reveals(spark):
     assert salted != rows[0].dni_hash
 
 
+def test_keyed_hash_is_hmac(spark):
+    values = ["", "00000001", "ñandú", "x" * 300, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    for key in (b"k", b"s" * 128, b"long" * 100):
+        digest = protect.keyed_hash(spark, key)
+        got = {r.i: r.h for r in rows.select("i", digest(F.col("v")).alias("h")).collect()}
+        for i, v in enumerate(values):
+            want = None if v is None else hmac.new(key, v.encode(), hashlib.sha512).digest()
+            assert (None if got[i] is None else bytes(got[i])) == want
+    with pytest.raises(ValueError):
+        protect.protect(rows, ["v"], "k" * 16, ["v"], salt="s", hash_key=b"k")
+
+
+def test_no_plan_shows_a_key(spark):
+    key, hash_key = "Secret0123456789", b"AnotherSecret567"
+    people = spark.range(3).select(F.col("id").cast("string").alias("dni"))
+    hidden = protect.protect(people, ["dni"], key, ["dni"], hash_key=hash_key)
+    back = protect.reveal(hidden, {"dni": "string"}, key)
+    assert sorted(r.dni for r in back.collect()) == ["0", "1", "2"]
+    pads = [bytes(b ^ x for b in hash_key) for x in (0x36, 0x5C)]
+    for df in (hidden, back):
+        run = df._jdf.queryExecution()
+        plan = run.toString() + run.executedPlan().toString() + run.analyzed().toString()
+        for secret in (key.encode(), hash_key, *pads):
+            assert secret.hex().upper() not in plan.upper() and secret.decode("latin-1") not in plan
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 2025, "a"), (2, 2026, "b")], "id int, anio int, v string")
     path = str(tmp_path / "t")
