@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duesflow.session import cut_lineage
+
 
 def id_bucket(row_id: Column, width: int = 1 << 20) -> Column:
     """Consecutive ids share a bucket, so a bucket of unique ids has at most ``width`` rows."""
@@ -44,6 +46,7 @@ def number_rows(
     order_by: Sequence[str | Column],
     bucket: Column | Sequence[Column],
     partition_by: Sequence[str] = (),
+    store: bool = False,
 ) -> DataFrame:
     """``row_number`` over ``partition_by`` in the order ``order_by``.
 
@@ -53,19 +56,24 @@ def number_rows(
     the rows of the runs before it, taken from running sums over run sizes. A
     partition that holds a third of all rows is thus spread over as many tasks
     as it has runs. ``order_by`` must be unique for a repeatable result.
+
+    ``df`` is evaluated twice, once for the sizes of the runs, which suits a scan. With
+    ``store`` it is evaluated once (runs a job): the rows with their numbers inside the runs
+    are written to the work folder, and the sizes are taken from what was written.
     """
     cuts = [bucket] if isinstance(bucket, Column) else list(bucket)
     # A struct key compares NULL with NULL as equal, and both the window and the
     # join below cluster by it: the rows are shuffled once.
     run = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(partition_by)],
                    *[c.alias(f"b{i}") for i, c in enumerate(cuts)])
-    keyed = df.withColumn("_run", run)
+    local = F.row_number().over(W.partitionBy("_run").orderBy(*order_by))
+    keyed = df.withColumn("_run", run).withColumn("_local", local)
+    if store:
+        keyed = cut_lineage(keyed)
     sizes = keyed.groupBy("_run").agg(F.count(F.lit(1)).alias("_size"))
     starts = _starts(sizes, len(partition_by), len(cuts))
-    local = F.row_number().over(W.partitionBy("_run").orderBy(*order_by))
     return (
-        keyed.withColumn("_local", local)
-        .join(starts, "_run")
+        keyed.join(starts, "_run")
         .withColumn(name, F.col("_start") + F.col("_local"))
         .drop("_run", "_local", "_start")
     )

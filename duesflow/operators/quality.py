@@ -43,45 +43,67 @@ def row_rules(table: str) -> dict[tuple[str, str], Column]:
     return rules
 
 
-def _result(df: DataFrame, table: str, rule: str, columns: str) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("tabla"), F.lit(rule).alias("regla"), F.lit(columns).alias("columnas"),
-        F.col("violaciones").cast("bigint").alias("violaciones"),
-    )
-
-
-def check_rows(df: DataFrame, table: str) -> DataFrame:
-    """All one-row rules of a table in a single pass: one result row per rule."""
-    rules = row_rules(table)
-    counts = df.agg(*[F.count_if(cond).alias(f"r{i}") for i, cond in enumerate(rules.values())])
-    labels = F.array(*[
-        F.struct(F.lit(table).alias("tabla"), F.lit(rule).alias("regla"),
-                 F.lit(column).alias("columnas"), F.col(f"r{i}").alias("violaciones"))
-        for i, (rule, column) in enumerate(rules)
-    ])
-    return counts.select(F.inline(labels))
+def _key(columns: Sequence[str]) -> tuple[Column, Column]:
+    """(known, text): whether no key column is NULL, and the key as one text that tells different keys apart."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    texts = [F.col(c).cast("string") for c in columns]
+    if len(texts) == 1:
+        return known, texts[0]
+    return known, F.concat_ws(":", *[part for t in texts for part in (F.length(t).cast("string"), t)])
 
 
 def quality_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(tabla, regla, columnas, violaciones) for every rule of the given tables.
 
-    ``unique`` counts repeated key values, ``reference`` counts orphan rows;
-    references to tables that are not given are skipped.
+    ``unique`` counts repeated key values, ``reference`` counts orphan rows; references
+    to tables that are not given are skipped. A rule without violations has a row with 0.
+
+    Each table is read once: a row gives one entry per key that it holds as a unique key,
+    as a reference or as the parent of a reference, and one with the set of its own rules
+    that it breaks, as bits. All entries of all tables meet in one aggregation by rule and
+    key, in which a hot key (a parent that many rows name, a set that many rows break)
+    sends one row per task. References meet by the text form of the value.
     """
-    parts: list[DataFrame] = []
-    for name, df in tables.items():
+    kinds = ("own", "child", "parent", "bad")
+    labels: list[tuple[str, str, str]] = []
+    entries: dict[str, list[Column]] = {name: [] for name in tables}
+    broken: list[Column] = []  # per table: the rules that a set of bits stands for
+
+    def entry(table: str, rule: int, holds: Column, key: Column, kind: str) -> None:
+        counts = [F.lit(int(k == kind)).cast("bigint").alias(k) for k in kinds]
+        entries[table].append(F.when(holds, F.struct(F.lit(rule).alias("rule"), key.alias("key"), *counts)))
+
+    for name in tables:
         spec = TABLES[name]
-        if row_rules(name):
-            parts.append(check_rows(df, name))
+        first, rules = len(labels), row_rules(name)
+        if rules:
+            bits = reduce(lambda a, b: a + b, [F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                                               for i, cond in enumerate(rules.values())])
+            broken.append(F.array_compact(F.array(*[
+                F.when(F.col("key").cast("bigint").bitwiseAND(F.lit(1 << i)) != 0, F.lit(first + i)) for i in range(len(rules))])))
+            entry(name, -len(broken), bits != 0, bits.cast("string"), "bad")
+            labels += [(name, rule, column) for rule, column in rules]
         for keys in spec.unique:
-            found = repeated_keys(df, keys).agg(F.count(F.lit(1)).alias("violaciones"))
-            parts.append(_result(found, name, "unique", ",".join(keys)))
+            entry(name, len(labels), *_key(keys), "own")
+            labels.append((name, "unique", ",".join(keys)))
         for column, (parent, parent_column) in spec.references.items():
             if parent in tables:
-                found = orphans(df, column, tables[parent], parent_column).agg(
-                    F.count(F.lit(1)).alias("violaciones"))
-                parts.append(_result(found, name, "reference", column))
-    return reduce(DataFrame.unionByName, parts)
+                entry(name, len(labels), *_key([column]), "child")
+                entry(parent, len(labels), *_key([parent_column]), "parent")
+                labels.append((name, "reference", column))
+    streams = [df.select(F.inline(F.array(*entries[name]))).where("rule IS NOT NULL") for name, df in tables.items()]
+    met = reduce(DataFrame.unionByName, streams).groupBy("rule", "key").agg(*[F.sum(k).alias(k) for k in kinds])
+    found = F.col("bad") + F.when(F.col("own") > 1, 1).otherwise(0) + F.when(F.col("parent") == 0, F.col("child")).otherwise(0)
+    rules_of = F.array(F.col("rule"))
+    for i, some in enumerate(broken):
+        rules_of = F.when(F.col("rule") == -1 - i, some).otherwise(rules_of)
+    violations = met.select("rule", "key", found.alias("n")).where("n > 0").select(F.explode(rules_of).alias("rule"), "n")
+    # Every rule has an entry that counts nothing, so that it has a row.
+    none = violations.sparkSession.range(len(labels)).select(F.col("id").cast("int").alias("rule"), F.lit(0).cast("bigint").alias("n"))
+    label = F.get(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("tabla", "regla", "columnas"), row, strict=True)])
+                            for row in labels]), F.col("rule"))
+    return (violations.unionByName(none).groupBy("rule").agg(F.sum("n").alias("violaciones"))
+            .select(label.alias("l"), "violaciones").select("l.*", "violaciones"))
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

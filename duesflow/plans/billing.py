@@ -193,17 +193,19 @@ def _carried_cents(bills: Column, paid: Column, percent: Column, start: Column)
     return F.aggregate(bills, empty, step, lambda state: state.arrastres)
 
 
-def _with_bills(rows: DataFrame, bills: DataFrame) -> DataFrame:
+def _with_bills(rows: DataFrame, bills: DataFrame, units: DataFrame) -> DataFrame:
     """Join the array of bills to the units of the building.
 
     Both sides meet by building and salt, so that the units of one very large
-    building spread over all shuffle partitions; Spark broadcasts the bills
-    instead where their measured size allows.
+    building spread over all shuffle partitions. Bills are copied only to the
+    salts that a building's units fall into, which are never more than its units;
+    Spark broadcasts the bills instead where their measured size allows.
     """
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("_salt", F.pmod(F.hash("idUnidadFuncional"), F.lit(salts)))
-    copies = bills.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["consorcioId", "_salt"]).drop("_salt")
+    salt = lambda unit: F.pmod(F.hash(unit), F.lit(salts)).alias("_salt")
+    salted = rows.select("*", salt("idUnidadFuncional"))
+    met = units.select("consorcioId", salt("id")).distinct()
+    return salted.join(bills.join(met, "consorcioId"), ["consorcioId", "_salt"]).drop("_salt")
 
 
 def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
@@ -240,7 +242,7 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
                      F.col("porcentajeExpensas").alias("porcentaje"))
         .join(settled, "_cuenta", "left")
     )
-    rows = _with_bills(rows, bills)
+    rows = _with_bills(rows, bills, units)
     opening, paid_before = F.lit(0).cast("bigint"), F.lit(None).cast(MONEY)
     if previous is not None:
         rows = rows.join(previous.select(

@@ -98,7 +98,7 @@ def import_costs(raw: DataFrame, buildings: DataFrame, ordinary: DataFrame, year
                  invoices: str = "running") -> DataFrame:
     """New GastoOrdinario rows, numbered after ``last_number`` by building,
     month and category. Costs of a building, month and category that the ledger
-    already has are not added again."""
+    already has are not added again. Runs a job (see ``number_rows``)."""
     return number_costs(parse_costs(raw, as_of, style), buildings, ordinary, year, last_number, invoices)
 
 
@@ -118,7 +118,8 @@ def number_costs(parsed: DataFrame, buildings: DataFrame, ordinary: DataFrame, y
     fresh = upsert.absent(costs.select("*", prefix), ordinary.select("*", prefix), keys).drop("_tipo")
     numbered = number_rows(
         fresh, "idGasto", ["consorcioId", "fechaEmision", "tipoServicio", "importeTotal"],
-        [id_bucket(F.col("consorcioId"), 4096), F.col("consorcioId"), F.struct("fechaEmision", "tipoServicio", F.floor(F.col("importeTotal") / 100))])
+        [id_bucket(F.col("consorcioId"), 4096), F.col("consorcioId"), F.struct("fechaEmision", "tipoServicio", F.floor(F.col("importeTotal") / 100))],
+        store=True)
     counter = F.col("idGasto") + F.lit(last_number)
     return conform(numbered.withColumns({
         "idGasto": counter,
@@ -143,7 +144,7 @@ def import_people(raw: DataFrame, people: DataFrame, last_id: int = 0) -> DataFr
     number = F.col("dni").cast("bigint")
     numbered = number_rows(
         fresh, "idPersona", ["CVU_CBU", number, "apellido", "nombre"],
-        [*prefix_buckets(F.col("CVU_CBU")), F.when(F.col("CVU_CBU").isNull(), F.floor(number / 10000))])
+        [*prefix_buckets(F.col("CVU_CBU")), F.when(F.col("CVU_CBU").isNull(), F.floor(number / 10000))], store=True)
     return conform(numbered.withColumn("idPersona", F.col("idPersona") + last_id), "Persona")
 
 
@@ -177,7 +178,8 @@ def import_unit_owners(raw: DataFrame, buildings: DataFrame, units: DataFrame, l
     order = ["consorcioId", "numero", "CVU_CBU"]
     # Rows of unknown buildings may be many: they are cut further, by number and account.
     unknown = [F.when(F.col("consorcioId").isNull(), c) for c in (F.col("numero"), *prefix_buckets(F.col("CVU_CBU")))]
-    numbered = number_rows(fresh, "id", order, [F.col("consorcioId"), F.floor(F.col("numero") / 1024), *unknown])
+    numbered = number_rows(fresh, "id", order, [F.col("consorcioId"), F.floor(F.col("numero") / 1024), *unknown],
+                           store=True)
     return conform(numbered.withColumn("id", F.col("id") + last_id), "UnidadFuncional")
 
 

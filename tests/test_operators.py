@@ -41,6 +41,20 @@ def test_number_rows_never_gathers_a_partition(spark):
     assert {r.n for r in got.collect()} == set(range(1, 4097))
 
 
+def test_stored_numbering_evaluates_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("p")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    watched, watch = sinks.counted(rows)
+    got = number_rows(watched, "n", ["id"], id_bucket(F.col("id"), 500), ["p"], store=True)
+    assert sinks.rows_counted(watch) == 5000
+    assert path not in got._jdf.queryExecution().executedPlan().toString()
+    want = rows.withColumn("n", F.row_number().over(W.partitionBy("p").orderBy("id")))
+    assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == 5000
+    none = number_rows(rows.where("id < 0"), "n", ["id"], id_bucket(F.col("id")), ["p"], store=True)
+    assert none.isEmpty()
+
+
 def test_absent_keeps_null_keys_and_normalises(spark):
     new = spark.createDataFrame([(" A ",), ("b",), (None,)], "k string")
     old = spark.createDataFrame([("a",), (None,)], "n string")
@@ -105,6 +119,34 @@ def test_quality_rules(spark):
     assert sizes["size", "saldo"] == 1 and sizes["required", "CVU_CBU"] == 0
 
 
+def test_quality_report_reads_each_table_once(spark, tmp_path):
+    """Every kind of rule broken, against the rules one by one; NULL keys count nowhere."""
+    people = [(i, "a", "b", "1", None, str(i % 40) if i % 7 else None, None, 1 + i % 3) for i in range(300)]
+    units = [(i % 90, str(i % 60) if i % 5 else None, 1, "d", "p", i, None, None, "t") for i in range(200)]
+    bills = [(i, 1, *[Decimal(i)] * 6, 2025, i % 12 if i % 4 else None) for i in range(50)]
+    tables = {}
+    for name, rows in (("Persona", people), ("UnidadFuncional", units), ("Expensa", bills),
+                       ("TipoRol", [(1, "x" * 60, None), (2, None, None)])):
+        spark.createDataFrame(rows, schemas.TABLES[name].schema).write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    report = quality.quality_report(tables)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == len(tables)
+    got = {(r.tabla, r.regla, r.columnas): r.violaciones for r in report.collect()}
+    want = {}
+    for name, df in tables.items():
+        for rule, broken in quality.row_rules(name).items():
+            want[name, *rule] = df.where(broken).count()
+        for keys in schemas.TABLES[name].unique:
+            want[name, "unique", ",".join(keys)] = quality.repeated_keys(df, keys).count()
+        for column, (parent, other) in schemas.TABLES[name].references.items():
+            if parent in tables:
+                want[name, "reference", column] = quality.orphans(df, column, tables[parent], other).count()
+    assert got == want
+    assert got["Expensa", "unique", "consorcioId,fechaPeriodoAnio,fechaPeriodoMes"] == 9
+    assert got["Persona", "reference", "idTipoRol"] == 100 and got["UnidadFuncional", "reference", "CVU_CBU"] > 0
+
+
 def test_protect_hides_and_reveals(spark):
     people = spark.createDataFrame(
         [(1, "Ana", "Gil", "00000001", None, "77", "5", 1), (2, "Eva", "Paz", "00000002", "e@x", "77", "6", 2)],
