@@ -98,23 +98,32 @@ class Vocabulary:
 
 
 def learn_vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
-    """The vocabulary of stored ``counts`` and the count that all its head tokens exceed.
+    """The vocabulary of stored ``counts`` and the count from which on all short tokens are in its head.
 
     The head is cut by a histogram of counts with 16 steps a doubling, so that at most
-    ``head`` tokens of at most ``LONGEST`` bytes come to the driver.
+    ``head`` tokens of at most ``LONGEST`` bytes come to the driver. The step that does not
+    fit as a whole fills what is left, in the order of 4,096 hash values of its tokens.
     """
     short = F.octet_length("token") <= LONGEST
     step = F.floor(F.log2("n") * 16).cast("int")
     steps = counts.groupBy(step.alias("step")).agg(
         F.count(F.when(short, 1)).alias("short"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
-    taken, least = 0, None
+    room, least, wanted = head, 1 << 62, None
     for row in steps:
-        taken += row.short
-        if taken > head:
+        if row.short > room:
+            part = F.crc32("token") % 4096
+            sizes = counts.where(short & (step == row.step)).groupBy(part.alias("part")).count().orderBy("part").collect()
+            end = 0
+            for size in sizes:
+                if size["count"] > room:
+                    break
+                room, end = room - size["count"], size.part + 1
+            wanted = (step == row.step) & (part < end)
             break
-        least = row.least
-    least = least if least is not None else (1 << 62)
-    rows = sorted(((r.n, bytes(r.token)) for r in counts.where(short & (F.col("n") >= least)).collect()), key=lambda r: (-r[0], r[1]))
+        room, least = room - row.short, row.least
+    whole = F.col("n") >= least
+    taken = counts.where(short & (whole if wanted is None else whole | wanted)).collect()
+    rows = sorted(((r.n, bytes(r.token)) for r in taken), key=lambda r: (-r[0], r[1]))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, numbers = [t for _, t in rows], [n for n, _ in rows]
     of_class = (F.crc32(F.substring("token", -2, 2)) % CLASSES).cast("int")
@@ -440,6 +449,7 @@ def score_texts(docs: DataFrame, held_out, *, rate: float = 0.1) -> DataFrame:
 
     rows = texts.select("doc_id", held_out.alias("held"), "text").mapInArrow(
         score, "key long, token binary, n long, class int, " + STATE)
+    # Some tokens below ``least`` are in the head too; no row asks for them.
     rare = counts.where((F.octet_length("token") > LONGEST) | (F.col("n") < least)).select("token", F.col("n").alias("c"))
     c = F.coalesce("c", F.lit(0))
     log_room = F.element_at(F.array(*[F.lit(float(x)) for x in vocabulary.log_tail()]), F.col("class") + 1)

@@ -477,6 +477,21 @@ def test_language_model(spark, empty):
     assert lm.score_texts(empty, crc_part("doc_id", 7, 2)).count() == 0
 
 
+def test_head_is_filled_by_tokens_of_equal_counts(spark):
+    few = [(b"often%d" % i, 100 + i) for i in range(5)]
+    many = [(b"t%d" % i, 1) for i in range(2000)] + [(b"x" * 65, 1)]
+    counts = spark.createDataFrame([(bytearray(t), n) for t, n in few + many], "token binary, n bigint")
+    for head in (0, 3, 5, 10, 1000, 2005, 5000):
+        vocabulary, least = lm.learn_vocabulary(counts, head)
+        assert vocabulary.total == sum(n for _, n in few + many) and vocabulary.distinct == len(few + many)
+        got, known = set(vocabulary.facts()[0]), dict(few + many[:-1])
+        assert len(got) <= head and got <= set(known)
+        assert {t for t, n in known.items() if n >= least} <= got
+        assert len(got) >= min(len(known), 0.98 * head - 8)
+    equal = spark.createDataFrame([(bytearray(b"w%d" % i), 1) for i in range(20)], "token binary, n bigint")
+    assert 0 < len(lm.learn_vocabulary(equal, 10)[0].counts) <= 10
+
+
 def test_language_model_sums_to_one():
     tokens = [f"w{i}".encode() for i in range(3000)] + [lm.END]
     counts = np.arange(len(tokens), 0, -1)
