@@ -117,8 +117,8 @@ def read_units(spark: SparkSession, path: str) -> DataFrame:
 def read_costs(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Monthly cost documents: one JSON array per file, or one document per line.
 
-    An array file is read by one task each; large deliveries should come as
-    many files or as JSON Lines, which split.
+    An array file is read by one task each. Large deliveries should come as many files or as
+    JSON Lines, which split, or be read by ``arrays.read_array``, which cuts arrays.
     """
     reader = spark.read.format("json").schema(schemas.COST_FILE).options(multiLine=not json_lines)
     return _load(reader, path)
