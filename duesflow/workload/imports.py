@@ -379,8 +379,11 @@ _SEEDED = (f"(5000000 + {draw_below('o_orderkey', 3, 50000000)})", f"({draw_belo
            f"({draw_below('o_orderkey', 6, 5)} + 1)")
 
 
-@query("seeded_costs", "idGasto int, consorcioId int, nombreEmpresaoPersona text, nroFactura text, fechaEmision date, "
-       "importeTotal money, detalle text, esPagoTotal bool, nroCuota int, totalCuota money", f"""
+SEEDED_COLUMNS = ("idGasto int, consorcioId int, nombreEmpresaoPersona text, nroFactura text, fechaEmision date, "
+                  "importeTotal money, detalle text, esPagoTotal bool, nroCuota int, totalCuota money")
+
+
+@query("seeded_costs", SEEDED_COLUMNS, f"""
 SELECT o_orderkey AS "idGasto", c_nationkey AS "consorcioId",
        {pick('o_orderkey', 1, fillers.WORK_COMPANIES)} AS "nombreEmpresaoPersona",
        lpad(CAST({draw('o_orderkey', 7)} AS VARCHAR), 10, '0') AS "nroFactura",

@@ -59,6 +59,6 @@ def query(name: str, columns: str, sql: str | None = None):
 
 def load() -> dict[str, Query]:
     """All registered queries."""
-    from duesflow.workload import billing, files, imports, monthly, operators, protected, reports  # noqa: F401
+    from duesflow.workload import billing, files, imports, masters, monthly, operators, protected, reports  # noqa: F401
 
     return QUERIES
