@@ -199,11 +199,13 @@ def _with_bills(rows: DataFrame, bills: DataFrame, units: DataFrame) -> DataFram
     Both sides meet by building and salt, so that the units of one very large
     building spread over all shuffle partitions. Bills are copied only to the
     salts that a building's units fall into, which are never more than its units;
-    Spark broadcasts the bills instead where their measured size allows.
+    Spark broadcasts the bills instead where their measured size allows. Units are dealt
+    to a stated number of tasks also then: a task's work is units times months, which the
+    size of the units, by which adaptive execution would merge tasks, does not show.
     """
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = lambda unit: F.pmod(F.hash(unit), F.lit(salts)).alias("_salt")
-    salted = rows.select("*", salt("idUnidadFuncional"))
+    salted = rows.select("*", salt("idUnidadFuncional")).repartition(salts, "consorcioId", "_salt")
     met = units.select("consorcioId", salt("id")).distinct()
     return salted.join(bills.join(met, "consorcioId"), ["consorcioId", "_salt"]).drop("_salt")
 
