@@ -73,3 +73,13 @@ def test_lines_that_do_not_fit(spark, tmp_path):
     assert sorted((r.idPago or "", r.CVU_CBU or "", r.valor or "") for r in rows.collect()) == [("", "", ""), ("1", "U1", "$1"), ("5", "U,1", "ñ")]
     assert sorted((r.causa, r.linea, r.archivo.endswith("pagos.csv")) for r in bad.collect()) == [
         ("corta", "2,01/01/2025", True), ("larga", "3,01/01/2025,U1,$1,x,y", True)]
+
+
+def test_units_are_dealt_also_under_broadcast_bills(spark):
+    rows = spark.range(20).select(F.col("id").alias("idUnidadFuncional"), F.lit(1).cast("long").alias("consorcioId"))
+    units = rows.withColumnRenamed("idUnidadFuncional", "id")
+    bills = spark.createDataFrame([(1, [5])], "consorcioId long, facturas array<long>")
+    joined = billing._with_bills(rows.coalesce(1), bills, units)
+    assert "REPARTITION_BY_NUM" in plan_of(joined)
+    assert sorted(r.idUnidadFuncional for r in joined.collect()) == list(range(20))
+    assert joined.columns == ["consorcioId", "idUnidadFuncional", "facturas"]
