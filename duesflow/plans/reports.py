@@ -204,18 +204,21 @@ def top_months(costs: DataFrame, bills: DataFrame, lines: DataFrame, n: int = 5,
     known = _where(bills, *_equals("consorcioId", building)).select(
         F.col("id").alias("expensaId"), "fechaPeriodoAnio", "fechaPeriodoMes")
     day = F.col("fechaEmision")
-    # Sum per bill and month first: what meets the bills is small.
+    # Sum per bill and month first: what meets the bills is small. Dates and amounts may be decrypted: conditions on
+    # them stand in the sums, because Spark would copy the decryption into a filter below and decrypt a value twice.
     spent = (
-        _where(costs, day.isNotNull(), F.col("idExpensa").isNotNull(), *dates.in_year(day, year))
+        _where(costs, F.col("idExpensa").isNotNull(), *dates.in_year(day, year))
         .groupBy(F.col("idExpensa").alias("expensaId"), F.year(day).alias("Anio"), F.month(day).alias("Mes"))
-        .agg(F.sum(F.col("ordinario") + F.col("extraordinario")).alias("Monto"))
+        .agg(F.sum(F.col("ordinario") + F.col("extraordinario")).alias("Monto"), F.count(day).alias("_dias"))
+        .where("_dias > 0")
         .join(known, "expensaId", "left_semi")
         .groupBy("Anio", "Mes").agg(F.sum("Monto").cast(MONEY).alias("Monto"))
     )
-    due = F.col("primerVencimiento")
+    due, received = F.col("primerVencimiento"), F.col("pagosRecibidos")
     earned = (
-        _where(lines, due.isNotNull(), F.col("pagosRecibidos") > 0, *dates.in_year(due, year))
-        .groupBy("expensaId").agg(F.sum("pagosRecibidos").alias("Monto"))
+        _where(lines, *dates.in_year(due, year))
+        .groupBy("expensaId").agg(F.sum(F.when(due.isNotNull() & (received > 0), received)).alias("Monto"))
+        .where(F.col("Monto").isNotNull())
         .join(known, "expensaId")
         .groupBy(F.col("fechaPeriodoAnio").alias("Anio"), F.col("fechaPeriodoMes").alias("Mes"))
         .agg(F.sum("Monto").cast(MONEY).alias("Monto"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from duesflow import schemas
-from duesflow.operators import prefix
+from duesflow.operators import prefix, protect
 from duesflow.plans import billing, delivery, reports
 from duesflow.sources import files, sinks
 
@@ -83,3 +83,23 @@ def test_units_are_dealt_also_under_broadcast_bills(spark):
     assert "REPARTITION_BY_NUM" in plan_of(joined)
     assert sorted(r.idUnidadFuncional for r in joined.collect()) == list(range(20))
     assert joined.columns == ["consorcioId", "idUnidadFuncional", "facturas"]
+
+
+def test_top_months_decrypts_no_value_in_a_filter(spark):
+    from duesflow.plans import protected
+
+    day = dt.date(2025, 3, 5)
+    cost = [(1, 12025_03, 2, "f", "1", day, 10, "d", True, 1, 10), (2, 12025_03, 2, "f", "2", None, 99, "d", True, 1, 99),
+            (3, None, 2, "f", "3", day, 99, "d", True, 1, 99)]
+    extra = schemas.conform(spark.createDataFrame(cost, schemas.TABLES["GastoExtraordinario"].ddl.replace("decimal(18,2)", "int")), "GastoExtraordinario")
+    lines = schemas.conform(spark.createDataFrame(
+        [(1, 12025_03, 7, day), (2, 12025_03, 0, day), (3, 12025_03, None, day), (4, 12025_03, 5, None), (5, 12025_03, -1, day)],
+        "id long, expensaId long, pagosRecibidos int, primerVencimiento date"), "DetalleExpensa")
+    bills = spark.createDataFrame([(12025_03, 2, 2025, 3), (12025_04, 2, 2025, 4)], "id long, consorcioId long, fechaPeriodoAnio int, fechaPeriodoMes int")
+    key = "0123456789abcdef"
+    hide = lambda df, table: protect.protect_table(df, table, key)
+    top = protected.top_months(hide(schemas.empty(spark, "GastoOrdinario"), "GastoOrdinario"), hide(extra, "GastoExtraordinario"),
+                               bills, hide(lines, "DetalleExpensa"), key)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "aesdecrypt" in plan.lower() and not [x for x in plan.splitlines() if "Filter" in x and "aes" in x.lower()]
+    assert [(r.Tipo, r.Anio, r.Mes, int(r.Monto)) for r in top.collect()] == [("Ingreso", 2025, 3, 7), ("Gasto", 2025, 3, 10)]
