@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from duesflow.session import cut_lineage
 
+# Rows a task of the numbering sorts, on average.
+ROWS_PER_TASK = 250_000
+
 
 def id_bucket(row_id: Column, width: int = 1 << 20) -> Column:
     """Consecutive ids share a bucket, so a bucket of unique ids has at most ``width`` rows."""
@@ -58,8 +62,8 @@ def number_rows(
     as it has runs. ``order_by`` must be unique for a repeatable result.
 
     ``df`` is evaluated twice, once for the sizes of the runs, which suits a scan. With
-    ``store`` it is evaluated once (runs a job): the rows with their numbers inside the runs
-    are written to the work folder, and the sizes are taken from what was written.
+    ``store`` it is evaluated once (runs a job): the rows are written to the work folder, and
+    sorted by as many tasks as their number asks for, so that a task does not grow with them.
     """
     cuts = [bucket] if isinstance(bucket, Column) else list(bucket)
     # A struct key compares NULL with NULL as equal, and both the window and the
@@ -67,13 +71,14 @@ def number_rows(
     run = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(partition_by)],
                    *[c.alias(f"b{i}") for i, c in enumerate(cuts)])
     local = F.row_number().over(W.partitionBy("_run").orderBy(*order_by))
-    keyed = df.withColumn("_run", run).withColumn("_local", local)
-    if store:
-        keyed = cut_lineage(keyed)
+    keyed = (cut_lineage(df) if store else df).withColumn("_run", run)
     sizes = keyed.groupBy("_run").agg(F.count(F.lit(1)).alias("_size"))
     starts = _starts(sizes, len(partition_by), len(cuts))
+    if store:
+        tasks = math.ceil(keyed.count() / ROWS_PER_TASK)
+        keyed = keyed.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_run")
     return (
-        keyed.join(starts, "_run")
+        keyed.withColumn("_local", local).join(starts, "_run")
         .withColumn(name, F.col("_start") + F.col("_local"))
         .drop("_run", "_local", "_start")
     )

@@ -55,6 +55,17 @@ def test_stored_numbering_evaluates_its_input_once(spark, tmp_path):
     assert none.isEmpty()
 
 
+def test_stored_numbering_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    from duesflow.operators import numbering
+
+    monkeypatch.setattr(numbering, "ROWS_PER_TASK", 10)
+    rows = spark.range(2000).select("id", (F.col("id") % 3).alias("p"))
+    got = number_rows(rows, "n", ["id"], id_bucket(F.col("id"), 5), ["p"], store=True)
+    assert ", 200), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    want = rows.withColumn("n", F.row_number().over(W.partitionBy("p").orderBy("id")))
+    assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == 2000
+
+
 def test_absent_keeps_null_keys_and_normalises(spark):
     new = spark.createDataFrame([(" A ",), ("b",), (None,)], "k string")
     old = spark.createDataFrame([("a",), (None,)], "n string")
