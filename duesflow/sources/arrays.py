@@ -8,6 +8,8 @@ then over the sums of the blocks of a file.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from duesflow.sources.files import _load
 
 BLOCK = ["archivo", "bloque"]
 EARLIER = (W.unboundedPreceding, -1)
+# Bytes of the files for each task that orders pieces: less than a block, so that few blocks meet in a task.
+BYTES_PER_TASK = 1 << 22
 
 
 def _count(text: Column, marks: str) -> Column:
@@ -28,7 +32,13 @@ def _running(value: Column, window) -> Column:
     return F.coalesce(F.sum(value).over(window), F.lit(0))
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
+def _tasks(spark: SparkSession, path: str) -> int:
+    """Tasks for the pieces of the files, by their listed sizes (no content is read)."""
+    size = _load(spark.read.format("binaryFile"), path).agg(F.sum("length")).first()[0] or 0
+    return max(math.ceil(size / BYTES_PER_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _pieces(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """(archivo, bloque, lugar, texto, dentro, cambia, si_fuera, si_dentro): the texts between closing braces.
 
     ``dentro`` (0 or 1): whether the piece begins inside a quoted text, if its block does not;
@@ -48,7 +58,8 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         return _count(bare, "{[") - _count(bare, "]") - F.when(odd == inside, 1).otherwise(0)
 
     ordered = W.partitionBy(*BLOCK).orderBy("lugar")
-    known = read.select("*", odd.alias("cambia"), change(0).alias("_d0"), change(1).alias("_d1"))
+    known = read.select("*", odd.alias("cambia"), change(0).alias("_d0"), change(1).alias("_d1")).repartition(
+        tasks or _tasks(spark, path), *BLOCK)
     known = known.withColumn("dentro", _running(F.col("cambia"), ordered.rowsBetween(*EARLIER)) % 2)
     outside = F.col("dentro") == 0
     return known.select(
@@ -79,8 +90,9 @@ def array_documents(spark: SparkSession, path: str) -> DataFrame:
     (a compressed file cannot be cut); a file that does not begin with ``[`` raises. Empty files
     and arrays have no rows. Reads the files once, into the work folder.
     """
-    pieces = cut_lineage(_pieces(spark, path))
-    state = pieces.join(_blocks(pieces), BLOCK)
+    tasks = _tasks(spark, path)
+    pieces = cut_lineage(_pieces(spark, path, tasks))
+    state = pieces.repartition(tasks, *BLOCK).join(_blocks(pieces), BLOCK)
     outside = F.col("_begin") == 0
     depth = F.col("_depth") + F.when(outside, F.col("si_fuera")).otherwise(F.col("si_dentro"))
     closed = (F.col("_begin") + F.col("dentro") + F.col("cambia")) % 2 == 0

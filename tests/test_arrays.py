@@ -74,3 +74,18 @@ def test_one_file_many_tasks(spark, tmp_path, small_blocks):
 
     (tmp_path / "a.json").write_text(json.dumps(_documents(5, 100)))
     assert _pieces(spark, str(tmp_path)).select("bloque").distinct().count() > 50
+
+
+def test_tasks_grow_with_the_files(spark, tmp_path, small_blocks, monkeypatch):
+    from duesflow.sources import arrays
+
+    (tmp_path / "a.json").write_text(json.dumps(_documents(7, 200)))
+    size = (tmp_path / "a.json").stat().st_size
+    monkeypatch.setattr(arrays, "BYTES_PER_TASK", 64)
+    tasks = -(-size // 64)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = arrays._pieces(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan
+    documents = arrays.array_documents(spark, str(tmp_path))
+    assert f", {tasks}), REPARTITION_BY_NUM" in documents._jdf.queryExecution().executedPlan().toString()
+    assert _rows(read_array(spark, str(tmp_path), SCHEMA)[0]) == _documents(7, 200)
