@@ -244,12 +244,14 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
                      F.col("porcentajeExpensas").alias("porcentaje"))
         .join(settled, "_cuenta", "left")
     )
-    rows = _with_bills(rows, bills, units)
     opening, paid_before = F.lit(0).cast("bigint"), F.lit(None).cast(MONEY)
     if previous is not None:
+        # Before the units are dealt: the walk must not run in the tasks that a join leaves behind.
         rows = rows.join(previous.select(
             "idUnidadFuncional", F.col("periodo").alias("_ultimo"), F.col("deuda").alias("_deuda"),
             F.col("pagado").cast(MONEY).alias("_pagado")), "idUnidadFuncional", "left")
+    rows = _with_bills(rows, bills, units)
+    if previous is not None:
         first = F.col("facturas")[0]["periodo"]
         opening = _cents(F.when(F.add_months("_ultimo", 1) == first, F.col("_deuda")))
         paid_before = F.col("_pagado")

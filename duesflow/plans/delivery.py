@@ -252,9 +252,10 @@ def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt
         buildings, opening, units, payments, in_months["GastoOrdinario"], in_months["GastoExtraordinario"],
         first, last, previous=before, keep=cut_lineage)
     bills = run.bills.withColumns({"anio": F.col("fechaPeriodoAnio"), "mes": F.col("fechaPeriodoMes")})
-    lines = cut_lineage(run.lines)
     sinks.overwrite_partitions(bills, f"{facts}/Expensa", MONTH)
-    sinks.overwrite_partitions(_by_month(lines, "primerVencimiento"), f"{facts}/DetalleExpensa", MONTH, ["idUnidadFuncional"])
+    # Lines are the most rows of a run: written once, to their table, and read back from there.
+    sinks.overwrite_partitions(_by_month(run.lines, "primerVencimiento"), f"{facts}/DetalleExpensa", MONTH, ["idUnidadFuncional"])
+    lines = _months(_read(spark, facts, "DetalleExpensa"), first, last).where(days("primerVencimiento", 0, 1))
     # A payment of one month is applied to the line of the month before.
     paid = payments.select(F.col("id").alias("idPago"), dates.billed_period(F.col("fecha")).alias("_periodo"))
     applied = billing.apply_payments(payments, units, lines, run.bills).join(paid, "idPago")

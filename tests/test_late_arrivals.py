@@ -71,6 +71,20 @@ def test_any_order_of_arrival_equals_one_run(spark, masters, tmp_path):
     assert set(spans) == {(MONTHS[0], m) for m in MONTHS}
 
 
+def test_lines_are_written_once(spark, masters, tmp_path, monkeypatch):
+    """Lines of the months billed go to their table, not through the work folder; payments are applied to the rows there."""
+    payments, costs = facts_rows(spark)
+    facts, kept, keep = str(tmp_path / "facts"), [], delivery.cut_lineage
+    for table, df in (("Pago", payments), ("GastoOrdinario", costs)):
+        delivery.add_facts(df, facts, table)
+    monkeypatch.setattr(delivery, "cut_lineage", lambda df: kept.append(df.columns) or keep(df))
+    delivery.bill(spark, masters, facts, str(tmp_path / "a"), MONTHS[0], MONTHS[1])
+    assert kept and not [columns for columns in kept if "totalaPagar" in columns]
+    lines, applied = (delivery._read(spark, facts, t) for t in ("DetalleExpensa", "PagoAplicado"))
+    assert lines.count() == 12 and applied.join(lines, F.col("idDetalleExpensa") == F.col("id"), "left_anti").isEmpty()
+    assert applied.count() == payments.where("month(fecha) in (4, 5)").count()
+
+
 def test_broken_run_is_made_good(spark, masters, tmp_path, monkeypatch):
     payments, costs = facts_rows(spark)
     whole, facts = str(tmp_path / "whole"), str(tmp_path / "facts")

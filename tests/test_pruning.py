@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from duesflow import schemas
+from duesflow.functions.amounts import MONEY
 from duesflow.operators import prefix, protect
 from duesflow.plans import billing, delivery, reports
 from duesflow.sources import files, sinks
@@ -85,6 +87,24 @@ def test_units_are_dealt_also_under_broadcast_bills(spark):
     assert joined.columns == ["consorcioId", "idUnidadFuncional", "facturas"]
 
 
+def test_units_are_dealt_also_after_a_join_with_debts(spark):
+    """The walk over the months must not run in the tasks that a join by unit leaves behind."""
+    march = dt.date(2025, 3, 1)
+    units = spark.range(40).select("id", F.lit(1).cast("long").alias("consorcioId"), F.col("id").cast("string").alias("CVU_CBU"),
+                                   F.lit(50).cast("decimal(5,2)").alias("porcentajeExpensas"))
+    headers = spark.createDataFrame([(1, 1_202_503, march, 100, 0)], "consorcioId long, id long, periodo date, ordinario int, extraordinario int").withColumns(
+        {c: F.col(c).cast(MONEY) for c in ("ordinario", "extraordinario")})
+    paid = billing.account_months(schemas.empty(spark, "Pago"))
+    previous = units.select(F.col("id").alias("idUnidadFuncional"), F.lit(dt.date(2025, 2, 1)).alias("periodo"),
+                            F.col("id").cast(MONEY).alias("deuda"), F.lit(3).cast(MONEY).alias("pagado"))
+    lines = billing.carried_lines(headers, units, paid, previous)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "aggregate(" in above and "LeftOuter" not in above and "LeftOuter" in below
+    got = {r.idUnidadFuncional: (r.arrastre, r.total, r.pagadoAntes) for r in lines.collect()}
+    assert got == {i: (i, 50 + i * Decimal("1.05"), 3) for i in range(40)}
+
+
 def test_top_months_decrypts_no_value_in_a_filter(spark):
     from duesflow.plans import protected
 
