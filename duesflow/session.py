@@ -24,6 +24,8 @@ def get_spark(app: str = "duesflow", master: str | None = None, **conf: str) ->
         # The JVM compiles no method above 8000 bytes: let wide projections run as
         # several smaller methods instead of one that stays interpreted.
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Scans in plans show folders below long paths and their filters in full, not their first 100 letters.
+        "spark.sql.maxMetadataStringLength": "1000",
         # Call sites of every column expression double the driver's planning time.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

@@ -123,3 +123,10 @@ def test_top_months_decrypts_no_value_in_a_filter(spark):
     plan = top._jdf.queryExecution().optimizedPlan().toString()
     assert "aesdecrypt" in plan.lower() and not [x for x in plan.splitlines() if "Filter" in x and "aes" in x.lower()]
     assert [(r.Tipo, r.Anio, r.Mes, int(r.Monto)) for r in top.collect()] == [("Ingreso", 2025, 3, 7), ("Gasto", 2025, 3, 10)]
+
+
+def test_plans_show_tables_below_long_folders(spark, tmp_path):
+    path = str(tmp_path / ("folder" * 20) / "GastoOrdinario")
+    sinks.append(spark.range(12).select("id", (F.col("id") % 3).cast("int").alias("mes")), path, ["mes"])
+    scans = [line for line in plan_of(spark.read.parquet(path).where("mes = 1")).splitlines() if "PartitionFilters" in line]
+    assert len(scans) == 1 and "GastoOrdinario" in scans[0] and "mes" in scans[0].split("PartitionFilters")[1]
