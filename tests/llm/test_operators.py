@@ -271,6 +271,55 @@ def test_scores_stay_exact_for_large_components():
     assert knn._scores(big, np.array([[2.0**20, 1.0]])).tolist() == [[2**60 + 3]]
 
 
+def _moved(plan) -> tuple[int, int]:
+    """Bytes broadcast and rows shuffled by an executed plan."""
+    kind, nodes = plan.getClass().getSimpleName(), []
+    if kind == "AdaptiveSparkPlanExec":
+        nodes = [plan.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        nodes = [plan.plan()]
+    else:
+        nodes = [plan.children().apply(i) for i in range(plan.children().size())]
+    below = [_moved(n) for n in nodes]
+    metric = lambda on, name: int(plan.metrics().apply(name).value()) if kind == on else 0
+    return (sum(b for b, _ in below) + metric("BroadcastExchangeExec", "dataSize"),
+            sum(r for _, r in below) + metric("ShuffleExchangeExec", "shuffleRecordsWritten"))
+
+
+def test_top_inner_products_send_each_vector_once(spark):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(2000)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        top = knn.top_inner_products(table, every=10)
+        assert len(top.collect()) == 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    broadcast, rows = _moved(top._jdf.queryExecution().executedPlan())
+    # Two small tables take 1 MB each, 200 queries copied 48 times 5 MB. Queries go to 24 parts, each of which finds ten answers a query.
+    assert broadcast < 3 * 2**20 and 0 < rows <= 2000 + 200 * 24 + 200 * 24 * 10
+
+
+@pytest.mark.parametrize(("held", "wide"), [(2**27, 1.0), (20_000, 1.0), (20_000, 2.0**33), (2**27, 2.0**50)])
+def test_top_inner_products_of_clusters(spark, monkeypatch, held, wide):
+    """Far apart groups, ties, repeated ids and lengths of two to eight bytes a component, by one pass over the vectors and by several."""
+    monkeypatch.setattr(knn, "HELD", held)
+    monkeypatch.setattr(knn, "AT_ONCE", 64)
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(12, 5)) * 60
+    rows = [(i, (middles[i % 12] + rng.integers(-2, 3, 5)).tolist()) for i in range(1500)]
+    rows += [(i, rows[i % 7][1]) for i in range(1500, 1800)] + [(i, rows[i][1]) for i in range(3, 90)] + [(4001, (middles[0] * wide).tolist()), (-40, rows[4][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    whole = [(i, [int(max(-2.0**53, min(2.0**53, math.floor(1024 * c)))) for c in v]) for i, v in rows]
+    want = []
+    for q, x in {i: v for i, v in whole if i % 20 == 0}.items():
+        score = lambda v, x=x: max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(x, v, strict=True))))
+        best = sorted((-score(v), i) for i, v in whole if i != q)[:10]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, knn.top_inner_products(table, every=20, pivots=10, queries_per_block=16).collect())) == sorted(want)
+
+
 # --- near duplicates
 
 
