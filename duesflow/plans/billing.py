@@ -17,16 +17,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duesflow.functions import dates
-from duesflow.functions.amounts import MONEY, or_zero, percent_of
+from duesflow.functions.amounts import MONEY, RATE, or_zero, percent_of
 from duesflow.operators.upsert import absent
 from duesflow.schemas import conform
 
-# Interest on a carried debt, and the late tiers by first payment date.
-CARRY_INTEREST = "0.05"
+# Interest on a carried debt in ten-thousandths, and the late tiers by first payment date.
+CARRY_INTEREST = 500
 AFTER_FIRST_DUE = "0.02"
 AFTER_SECOND_DUE = "0.05"
-
-EXACT = "decimal(28,6)"
+# Bills whose carried debts are gathered before they are put to those of the bills before.
+STRETCH = 9
 
 
 def _rate(text: str) -> Column:
@@ -168,29 +168,45 @@ def _cents(amount: Column) -> Column:
     return (F.coalesce(amount, F.lit(0)).cast(MONEY) * 100).cast("bigint")
 
 
-def _carried_cents(bills: Column, paid: Column, percent: Column, start: Column) -> Column:
+def _money(cents: Column) -> Column:
+    return (cents * _rate("0.01")).cast(MONEY)
+
+
+def _rounded(exact: Column) -> Column:
+    """Millionths as cents, rounded half up as a stored amount is."""
+    half = F.when(exact < 0, F.lit(-5000)).otherwise(F.lit(5000))
+    return F.call_function("div", exact + half, F.lit(10000))
+
+
+def _total_cents(costs: Column, percent: Column, carried: Column) -> Column:
+    """What a unit owes on a bill: its share, the debt carried into it, and interest on that debt."""
+    return _rounded(costs * percent + carried * 10000 + F.greatest(carried, F.lit(0).cast("bigint")) * CARRY_INTEREST)
+
+
+def _carried_cents(stretches: Column, paid: Column, percent: Column, start: Column) -> Column:
     """The debt carried into each bill of one unit, in cents, by a walk over its bills.
 
-    The state is what stayed open on the bill before. Whole cents keep the walk
+    The state is what is carried into the next bill. Whole cents keep the walk
     exact and cheap: amount times percentage is a whole number of millionths,
     and a total is rounded half up to cents as a stored amount is. An overflow
-    raises.
+    raises. The state is copied at every bill, so the debts are gathered per stretch
+    of bills, and put to those before at its end.
     """
     zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<bigint>")
 
     def step(state: Column, bill: Column) -> Column:
-        carried = F.when(bill.sigue, state.deuda).otherwise(zero)
-        exact = bill.centavos * state.porcentaje + carried * 10000 + F.greatest(carried, zero) * 500
-        half = F.when(exact < 0, F.lit(-5000)).otherwise(F.lit(5000))
-        total = F.call_function("div", exact + half, F.lit(10000))
-        settled = F.coalesce(F.try_element_at(paid, bill.periodo), zero)
-        return F.struct((total - settled).alias("deuda"), state.porcentaje.alias("porcentaje"),
-                        F.array_append(state.arrastres, carried).alias("arrastres"))
+        total = _total_cents(bill.centavos, percent, state.arrastre)
+        open_ = total - F.coalesce(F.try_element_at(paid, bill.periodo), zero)
+        return F.struct(F.when(bill.seguira, open_).otherwise(zero).alias("arrastre"),
+                        F.array_append(state.arrastres, state.arrastre).alias("arrastres"))
+
+    def walk(state: Column, stretch: Column) -> Column:
+        return F.aggregate(stretch, F.struct(state.arrastre.alias("arrastre"), none.alias("arrastres")), step,
+                           lambda end: F.struct(end.arrastre.alias("arrastre"), F.concat(state.arrastres, end.arrastres).alias("arrastres")))
 
-    # The percentage rides in the state so that it is computed once per unit.
-    empty = F.struct(start.alias("deuda"), percent.alias("porcentaje"),
-                     F.array().cast("array<bigint>").alias("arrastres"))
-    return F.aggregate(bills, empty, step, lambda state: state.arrastres)
+    begin = F.struct(start.alias("arrastre"), none.alias("arrastres"))
+    return F.aggregate(stretches, begin, walk, lambda state: state.arrastres)
 
 
 def _with_bills(rows: DataFrame, bills: DataFrame, units: DataFrame) -> DataFrame:
@@ -222,14 +238,18 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
     month.
     """
     in_order = W.partitionBy("consorcioId").orderBy("periodo")
+    follows = lambda before, after: F.add_months(before, 1) == after
     bills = (
-        headers.withColumn("anterior", F.lag("periodo").over(in_order))
+        headers.withColumns({"anterior": F.lag("periodo").over(in_order), "siguiente": F.lead("periodo").over(in_order)})
         .groupBy("consorcioId")
         .agg(F.sort_array(F.collect_list(F.struct(
-            "periodo", F.col("id").alias("expensaId"), "ordinario", "extraordinario", "anterior",
-            F.coalesce(F.add_months("anterior", 1) == F.col("periodo"), F.col("anterior").isNull()).alias("sigue"),
+            "periodo", F.col("id").alias("expensaId"), _cents(F.col("ordinario")).alias("ordinario"),
+            _cents(F.col("extraordinario")).alias("extraordinario"), "anterior",
+            F.coalesce(follows(F.col("periodo"), F.col("siguiente")), F.lit(False)).alias("seguira"),
             _cents(F.col("ordinario") + F.col("extraordinario")).alias("centavos"),
         ))).alias("facturas"))
+        .withColumn("tramos", F.transform(F.sequence(F.lit(1), F.size("facturas"), F.lit(STRETCH)), lambda at: F.transform(
+            F.slice("facturas", at, STRETCH), lambda b: F.struct(b.periodo.alias("periodo"), b.centavos.alias("centavos"), b.seguira.alias("seguira")))))
     )
     month = F.add_months("mes", -1)
     settled = paid.groupBy(F.col("CVU_CBU").alias("_cuenta")).agg(
@@ -241,7 +261,7 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
     own = F.coalesce(F.col("CVU_CBU"), F.concat(F.lit("unit "), F.col("id").cast("string")))
     rows = (
         units.select(F.col("id").alias("idUnidadFuncional"), "consorcioId", own.alias("_cuenta"),
-                     F.col("porcentajeExpensas").alias("porcentaje"))
+                     _cents(F.col("porcentajeExpensas").cast(RATE)).alias("porcentaje"))
         .join(settled, "_cuenta", "left")
     )
     opening, paid_before = F.lit(0).cast("bigint"), F.lit(None).cast(MONEY)
@@ -255,21 +275,20 @@ def carried_lines(headers: DataFrame, units: DataFrame, paid: DataFrame,
         first = F.col("facturas")[0]["periodo"]
         opening = _cents(F.when(F.add_months("_ultimo", 1) == first, F.col("_deuda")))
         paid_before = F.col("_pagado")
-    carried = _carried_cents(F.col("facturas"), F.col("pagosCentavos"), _cents(F.col("porcentaje")), opening)
+    carried = _carried_cents(F.col("tramos"), F.col("pagosCentavos"), F.col("porcentaje"), opening)
     lines = rows.withColumn("_inicio", paid_before).withColumn("arrastres", carried).select(
         "idUnidadFuncional", "consorcioId", "porcentaje", "pagos", "_inicio",
         F.inline(F.arrays_zip("facturas", "arrastres")))
-    bill, debt = F.col("facturas"), (F.col("arrastres") * _rate("0.01")).cast(MONEY)
-    ordinary, extra = (F.coalesce(percent_of(bill[c], F.col("porcentaje")), F.lit(0)).cast(EXACT)
-                       for c in ("ordinario", "extraordinario"))
-    interest = F.greatest(debt, F.lit(0).cast(MONEY)) * _rate(CARRY_INTEREST)
+    # Lines are many: their amounts are whole numbers up to the last step, as in the walk.
+    bill, debt, percent = F.col("facturas"), F.col("arrastres"), F.col("porcentaje")
     settled_now = F.try_element_at("pagos", bill["periodo"])
     settled_before = F.coalesce(F.try_element_at("pagos", bill["anterior"])["pagado"], F.lit(0).cast(MONEY))
     return lines.select(
         "idUnidadFuncional", "consorcioId", bill["periodo"].alias("periodo"), bill["expensaId"].alias("expensaId"),
-        ordinary.cast(MONEY).alias("ordinario"), extra.cast(MONEY).alias("extraordinario"),
-        debt.alias("arrastre"), interest.cast(MONEY).alias("interes"),
-        (ordinary + extra + debt + interest).cast(MONEY).alias("total"),
+        _money(_rounded(bill["ordinario"] * percent)).alias("ordinario"),
+        _money(_rounded(bill["extraordinario"] * percent)).alias("extraordinario"),
+        _money(debt).alias("arrastre"), _money(_rounded(F.greatest(debt, F.lit(0).cast("bigint")) * CARRY_INTEREST)).alias("interes"),
+        _money(_total_cents(bill["centavos"], percent, debt)).alias("total"),
         or_zero(settled_now["pagado"]).alias("pagado"), settled_now["primera"].alias("primera"),
         F.when(bill["anterior"].isNotNull(), settled_before).otherwise(F.col("_inicio")).alias("pagadoAntes"),
     )

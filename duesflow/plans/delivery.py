@@ -230,8 +230,8 @@ def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt
     in_months = {}
     for table in ("GastoOrdinario", "GastoExtraordinario"):
         # Costs stamped by an earlier run of these months are billed again.
-        in_months[table] = _months(_read(spark, facts, table), first, last).where(days(FACT_DAY[table], 0, 1)).withColumn(
-            "idExpensa", F.lit(None).cast("bigint"))
+        in_months[table] = _months(_read(spark, facts, table), first, last).where(days(FACT_DAY[table], 0, 1)).withColumns(
+            {"_antes": F.col("idExpensa"), "idExpensa": F.lit(None).cast("bigint")})
     month_before = F.add_months(start, -1)
     # Through the work folder: the run replaces files of the tables it reads here.
     billed = cut_lineage(_months(_read(spark, facts, "Expensa"), first, first, -1, -1).where(
@@ -261,8 +261,13 @@ def bill(spark: SparkSession, masters: str, facts: str, accounts: str, first: dt
     applied = billing.apply_payments(payments, units, lines, run.bills).join(paid, "idPago")
     sinks.overwrite_partitions(_by_month(applied, "_periodo").drop("_periodo"), f"{facts}/PagoAplicado", MONTH)
     for table, costs in (("GastoOrdinario", run.ordinary), ("GastoExtraordinario", run.extraordinary)):
-        # Written through the work folder: a job must not replace what it reads.
-        stamped = cut_lineage(_by_month(costs, "fechaEmision"))
-        sinks.overwrite_partitions(stamped, f"{facts}/{table}", MONTH)
+        dated = _by_month(costs, "fechaEmision")
+        # Months whose costs all have the bill that they had before stay as they are.
+        number = F.col("anio") * 12 + F.col("mes") - 1
+        changed = dated.where(~F.col("idExpensa").eqNullSafe(F.col("_antes"))).select(number.alias("n")).distinct().collect()
+        if changed:
+            # Written through the work folder: a job must not replace what it reads.
+            due = costs.where(number.isin([r.n for r in changed])).drop("_antes")
+            sinks.overwrite_partitions(cut_lineage(_by_month(due, "fechaEmision")), f"{facts}/{table}", MONTH)
     sinks.replace_table(run.accounts, f"{accounts}/CuentaBancaria")
     span.end()

@@ -85,6 +85,25 @@ def test_lines_are_written_once(spark, masters, tmp_path, monkeypatch):
     assert applied.count() == payments.where("month(fecha) in (4, 5)").count()
 
 
+def test_costs_that_keep_their_bills_are_not_written_again(spark, masters, tmp_path):
+    payments, costs = facts_rows(spark)
+    facts = str(tmp_path / "facts")
+    late = costs.where("idGasto = 5")
+    delivery.add_facts(costs.where("idGasto <> 5"), facts, "GastoOrdinario")
+    delivery.bill(spark, masters, facts, str(tmp_path / "a"), MONTHS[0], MONTHS[1])
+    files = lambda: {m: sorted(f.name for f in (tmp_path / "facts/GastoOrdinario/anio=2025" / f"mes={m}").glob("*.parquet")) for m in (3, 4, 5)}
+    before = files()
+    delivery.add_facts(late, facts, "GastoOrdinario")
+    delivery.add_facts(payments, facts, "Pago")
+    delivery.bill(spark, masters, facts, str(tmp_path / "b"), MONTHS[1], MONTHS[1])
+    after = files()
+    assert [r.primero for r in runs.read_book(spark, facts, "Corrida").collect()] == [MONTHS[0]] * 2
+    assert before[3] == after[3] and before[5] == after[5] and not set(before[4]) & set(after[4])
+    got = {r.idGasto: r.idExpensa for r in delivery._read(spark, facts, "GastoOrdinario").collect()}
+    want = {r.idGasto: r.consorcioId * 1_000_000 + 202_500 + r.fechaEmision.month if r.fechaEmision.month < 5 else None for r in costs.collect()}
+    assert got == want
+
+
 def test_broken_run_is_made_good(spark, masters, tmp_path, monkeypatch):
     payments, costs = facts_rows(spark)
     whole, facts = str(tmp_path / "whole"), str(tmp_path / "facts")

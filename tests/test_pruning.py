@@ -105,6 +105,35 @@ def test_units_are_dealt_also_after_a_join_with_debts(spark):
     assert got == {i: (i, 50 + i * Decimal("1.05"), 3) for i in range(40)}
 
 
+def test_debts_are_carried_across_stretches_of_bills(spark):
+    """Twenty-nine months with two gaps against a plain walk; the state of the walk holds the debts of one stretch only."""
+    months = [dt.date(2020 + n // 12, n % 12 + 1, 1) for n in range(31) if n not in (8, 20)]
+    costs = {m: (100_000 + 7_919 * i, -301 * i) for i, m in enumerate(months)}
+    percents = {1: "33.33", 2: "0.07", 3: None}
+    money = lambda c: F.col(c).cast(MONEY)
+    units = spark.createDataFrame([(i, 1, f"U{i}", p) for i, p in percents.items()], "id long, consorcioId long, CVU_CBU string, p string").select(
+        "id", "consorcioId", "CVU_CBU", F.col("p").cast("decimal(5,2)").alias("porcentajeExpensas"))
+    headers = spark.createDataFrame([(1, m.year * 100 + m.month, m, f"{o / 100}", f"{e / 100}") for m, (o, e) in costs.items()],
+                                    "consorcioId long, id long, periodo date, ordinario string, extraordinario string").withColumns(
+        {c: money(c) for c in ("ordinario", "extraordinario")})
+    given = {(u, m): 11_111 * (i % 5) for u in (1, 2) for i, m in enumerate(months) if i % 3}
+    paid = spark.createDataFrame([(f"U{u}", (m + dt.timedelta(days=31)).replace(day=1), f"{c / 100}") for (u, m), c in given.items()],
+                                 "CVU_CBU string, mes date, pagado string").select("CVU_CBU", "mes", money("pagado").alias("pagado"), F.col("mes").alias("primera"))
+    want = {}
+    for u, p in percents.items():
+        left, last, percent = 0, None, int(Decimal(p or 0) * 100)
+        for m in months:
+            carried = left if last and (last + dt.timedelta(days=31)).replace(day=1) == m else 0
+            exact = sum(costs[m]) * percent + carried * 10_000 + max(carried, 0) * 500
+            total = (abs(exact) + 5_000) // 10_000 * (1 if exact >= 0 else -1)
+            want[u, m] = (carried, total)
+            left, last = total - given.get((u, m), 0), m
+    lines = billing.carried_lines(headers, units, paid)
+    got = {(r.idUnidadFuncional, r.periodo): (int(r.arrastre * 100), int(r.total * 100)) for r in lines.collect()}
+    assert got == want and len(want) == 87
+    assert "tramos" in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_top_months_decrypts_no_value_in_a_filter(spark):
     from duesflow.plans import protected
 
